@@ -148,3 +148,24 @@ def whole_windows(first: np.ndarray, k: int) -> np.ndarray:
     if not n.sum():
         return np.zeros(0, np.int64)
     return np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+
+def safe_hashes(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte stretches; the long ones, for which running sums aren't sound, by a digest."""
+    out = stretch(prefix, starts, ends, BYTE_BASE)
+    for i in np.flatnonzero(ends - starts > 512):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def within(owners: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(times, earlier): how often each hash occurs in its owner's text, and whether it has occurred there before."""
+    key = hashes ^ mixed(owners.astype(np.uint64) + np.uint64(1))
+    _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return n[back], first[back] != np.arange(len(key))
+
+
+def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values over the stretches that begin at first."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return total[first[1:]] - total[first[:-1]]
