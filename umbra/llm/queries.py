@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import packing, quality, simhash, tokens
+from umbra.llm import packing, quality, secrets, simhash, tokens
 from umbra.llm.common import documents
 
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(documents(spark, sf_dir))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -32,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op9_secret_scans": op9_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
