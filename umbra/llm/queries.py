@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import packing, quality, secrets, simhash, tokens
+from umbra.llm import packing, pii, quality, secrets, simhash, tokens
 from umbra.llm.common import documents
 
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_pii": op3_pii,
     "op5_token_counts": op5_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_rules": op10_quality_rules,

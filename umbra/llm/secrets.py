@@ -45,7 +45,7 @@ RULES = (
     Rule("chat", r"\bxox[abposr]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"\b[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("cloud_key", r"\bAIza[A-Za-z0-9_-]{35}|\bASIA[A-Z0-9]{16}\b"),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"\bBearer [A-Za-z0-9._~+/-]{20,}=*"),
     Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
     Rule("package", r"\b(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})"),
