@@ -113,13 +113,20 @@ def stretch(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All of ASCII but letters and digits.
+PUNCTUATION = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of a run of texts: byte places, 64-bit hashes, and the first word of each text."""
+    """The words of a run of texts: byte places, 64-bit hashes, and the first word of each text.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        solid = ~_SPACE[data]
+    Words are [^\\x20\\x09-\\x0D]+, or what stands between other bytes that `between` names.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
+        solid = ~between[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True  # a text's border also ends a word
         before, after = np.empty_like(solid), np.empty_like(solid)

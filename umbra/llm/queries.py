@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import packing, pii, quality, secrets, simhash, tokens
+from umbra.llm import decontaminate, packing, pii, quality, secrets, simhash, tokens
 from umbra.llm.common import documents
 
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(documents(spark, sf_dir))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_pii": op3_pii,
     "op5_token_counts": op5_token_counts,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from umbra.llm.common import blocks, string_buffers, text_or_empty
+from umbra.llm.common import FOLD, blocks, string_buffers, text_or_empty
 
 #: A Boolean query over trigrams: True (nothing is mandatory), a trigram, or ("and" | "or", frozenset of queries).
 Query = bool | bytes | tuple
@@ -179,8 +179,6 @@ def leaves(query: Query) -> set[bytes]:
     return {query} if isinstance(query, bytes) else set().union(*(leaves(q) for q in query[1]))
 
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 
 
 class Index:
@@ -235,7 +233,7 @@ def _scan(rules: tuple[Rule, ...], base: int):
             candidate = np.zeros((len(rules), n), bool)
             for lo, hi in blocks(offsets):
                 here, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                found = {f: x.postings(_FOLD[here] if f else here, at) for f, x in index.items()}
+                found = {f: x.postings(FOLD[here] if f else here, at) for f, x in index.items()}
                 for k, q in enumerate(queries):
                     candidate[k, lo:hi] = answer(q, found[folds[k]], index[folds[k]].place)
             counts = np.zeros((base, n), np.int64)
