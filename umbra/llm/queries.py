@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import decontaminate, packing, pii, quality, secrets, simhash, tokens
+from umbra.llm import debruijn, decontaminate, packing, pii, quality, secrets, simhash, suffixes, tokens
 from umbra.llm.common import documents
 
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -44,8 +52,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_pii": op3_pii,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
