@@ -60,17 +60,19 @@ def _fingerprints(width: int):
                         part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
                         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[lo + k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(out.view(np.int64))], ["doc_id", "sig", "fp"])
 
     return each
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of every whole text, A-Z in lower case, over shingles of `width` words.
+    """(doc_id, sig, fp): 64-bit SimHash of every whole text, A-Z in lower case, over shingles of `width` words.
 
+    sig is a hash of the text: rows of equal doc_id and sig are the same.
     Repeats count. Fewer words make one shingle; a text without words, or a null one, has fingerprint zero.
     """
-    return text_or_empty(docs).mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    rows = text_or_empty(docs).select("doc_id", F.hash("text").alias("sig"), "text")
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, sig int, fp long")
 
 
 def _bucket_edges(radius: int):
@@ -136,24 +138,36 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     return edges.unionByName(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) for each row of docs.
+def labelled(docs: DataFrame, width: int, radius: int, bucket: int) -> DataFrame:
+    """(doc_id, sig, fp, label) for each row of docs; rows of one component have one label, a fingerprint of theirs.
 
     Copies share a fingerprint and are grouped by it before any pairing, so a large group of copies is one candidate.
-    Texts without words have fingerprint zero and are linked like any other. Rows of one doc_id are rows of their own,
-    each with its fingerprint. A null doc_id stays null and doesn't name a component: one without any doc_id has none.
-    Empty tables give empty results.
     """
     fps = settled(fingerprints(docs, width), "fingerprints")
-    classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    label = components(links(classes.select("fp"), radius, bucket), "a", "b")
-    named = classes.join(label, classes.fp == label.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, once if it is repeated."""
-    kept = near_duplicates(prepared(docs, "doc_id", "text"), width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    classes = settled(fps.select("fp").distinct(), "classes")
+    label = components(links(classes, radius, bucket), "a", "b")
+    return fps.join(label, fps.fp == label.node, "left").select("doc_id", "sig", "fp", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) for each row of docs.
+
+    Texts without words, null ones too, have fingerprint zero and are linked like any other. Rows of one doc_id are rows
+    of their own, each with its fingerprint. A null doc_id stays null and doesn't name a component: one without any
+    doc_id has none. Empty tables give empty results.
+    """
+    rows = labelled(docs, width, radius, bucket)
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """docs without near-duplicates: one row of each component stays, the one with the smallest doc_id.
+
+    Of rows with that doc_id one stays; a component all of whose doc_ids are null keeps one row too.
+    """
+    rows = labelled(prepared(docs, "doc_id", "text"), width, radius, bucket)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig")).alias("first")).select("first.doc_id", "first.sig")
+    whole = docs.select(F.col("doc_id").alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("s"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = whole.join(first, whole.d.eqNullSafe(first.doc_id) & (whole.s == first.sig), "left_semi")
+    return kept.dropDuplicates(["d", "s"]).select("row.*")
