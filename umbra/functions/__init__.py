@@ -1 +1 @@
-
+"""functions of umbra."""

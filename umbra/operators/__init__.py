@@ -1 +1 @@
-
+"""operators of umbra."""

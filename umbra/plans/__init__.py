@@ -1 +1 @@
-
+"""plans of umbra."""

@@ -1 +1 @@
-
+"""sources of umbra."""

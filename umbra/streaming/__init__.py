@@ -1 +1 @@
-
+"""streaming of umbra."""
