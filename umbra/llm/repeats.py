@@ -146,11 +146,12 @@ class Repeats:
 def repeats(docs: DataFrame, spec: Spec, first_stays: bool = False) -> Repeats:
     """first_stays: whether the first path of a class counts as branching too (for it may be earlier or later than others)."""
     rows = keyed(docs)
-    again = anchors(rows, spec).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Tables of a row for each anchor are written first: a join whose sides are both plain exchanges can split a hot anchor.
+    again = settled(anchors(rows, spec).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = settled(paths(rows, spec).join(again, "anchor", "left_semi"), "paths")
     classes = settled(found.groupBy("anchor", "path").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "sig", "place")).alias("first")), "classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("copies").alias("least")).where("ways > 1" + ("" if first_stays else " and least = 1"))
-    branches = classes.join(several.select("anchor", "ways"), "anchor").select("anchor", "ways", "copies", "first.*")
+    branches = classes.join(settled(several.select("anchor", "ways"), "ways"), "anchor").select("anchor", "ways", "copies", "first.*")
     return Repeats(rows, found, classes, settled(branches, "branches"))
 
 
@@ -188,7 +189,7 @@ def by_window(r: Repeats, some: DataFrame, spec: Spec, first_stays: bool) -> Dat
 
     rows = with_text(r, some).mapInArrow(each, "doc_id long, sig int, place long, copies long, one long, two long")
     low = F.min(F.struct("doc_id", "sig", "place")).alias("low")
-    known = rows.groupBy("one", "two").agg(F.sum("copies").alias("n"), low).where("n > 1")
+    known = settled(rows.groupBy("one", "two").agg(F.sum("copies").alias("n"), low).where("n > 1"), "edges")
     hit = rows.join(known, ["one", "two"])
     if first_stays:
         hit = hit.where(F.struct("doc_id", "sig", "place") > F.col("low"))
