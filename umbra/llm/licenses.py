@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import text_or_empty
+from umbra.llm.common import settled, text_or_empty
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -234,6 +234,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rows = text_or_empty(docs).select("doc_id", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
     found = detections(rows.select("h1", "h2", "text")).groupBy("h1", "h2").agg(F.collect_set("label").alias("more"), F.max("confidence").alias("best"))
+    found = settled(found, "licenses")  # a plain exchange on both sides of the join lets Spark split a large group of copies
     base = rows.select("doc_id", "h1", "h2", n_words(F.col("text")).alias("n_words"), *[c.alias(k) for k, c in _base(F.col("text")).items()])
     own = F.filter(F.split("base_labels", ","), lambda x: x != "")
     every = F.array_sort(F.array_distinct(F.concat(own, F.coalesce("more", F.array().cast("array<string>")))))
