@@ -161,7 +161,7 @@ def rules() -> list[Rule]:
     notice = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|shared)\s+under\s+(?:an?\s+|the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+(?:the\s+)?)?"
     out = []
     for label, spdx, name, gate, keyword in FAMILIES:
-        out.append(Rule(1, label, 1.0, rf"(?i)SPDX-License-Identifier:[ \t]*(?:\(?[\w.+-]+\)?[ \t]+(?:AND|OR|WITH)[ \t]+){{0,8}}\(?{spdx}(?![\w.+-])", "spdx-", "license-identifier"))
+        out.append(Rule(1, label, 1.0, rf"(?i)(?<=SPDX-License-Identifier:[^\n]{{0,120}})(?<![\w.+-]){spdx}(?![\w.+-])", "spdx-", "license-identifier"))
         out.append(Rule(2, label, 0.95, rf"(?i)\b{notice}{name}", gate, keyword))
         out.append(Rule(3, label, 0.8, rf"(?i)\b{name}(?!\w)", gate, keyword))
     for label, confidence, pattern, gate, keyword in OTHERS:

@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm import debruijn, decontaminate, licenses, packing, pii, quality, secrets, simhash, suffixes, tokens
 from umbra.llm.common import documents
 
-ORACLES: dict[str, str] = {}
+#: Whole windows are joined with a space, which no word holds; a window's text is then the same just where its words are.
+_SUBSTRINGS = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM k),
+r AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM v ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_substring_dedup": _SUBSTRINGS}
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
