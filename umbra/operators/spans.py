@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.functions import fixed
 from umbra.functions.text import java
+from umbra.operators.detection import nested
 
 SPANS = "array<struct<start:int,end:int,type:string,text:string>>"
 
@@ -25,27 +27,36 @@ def bio_tag(tag: Column) -> Column:
     return F.when(raw == "", "").when(raw == "O", "O").otherwise(F.concat(prefix, F.coalesce(F.element_at(names, base), base)))
 
 
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("text", pa.string())])
+
+
+def tagged_spans(tokens: list[str], tags: list[str], separator: str) -> list[tuple[int, int, str, str]]:
+    """Spans (start, end, type, text) of tokens joined by a separator; B or another type begins one, and I after O does."""
+    whole, found, kind, at = separator.join(tokens), [], None, 0
+    for token, tag in zip(tokens, tags, strict=False):
+        end, prefix, own = at + len(token), tag[:2], None if tag == "O" else tag.partition("-")[2] or tag
+        if own is not None:
+            if prefix == "B-" or own != kind:
+                found.append([at, end, own])
+            else:
+                found[-1][1] = end
+        kind, at = own, end + len(separator)
+    return [(s, e, k, whole[s:e]) for s, e, k in found]
+
+
 def bio_spans(examples: DataFrame, separator: str = " ", key: str = "doc_id") -> DataFrame:
     """key, text, entities of token examples (key, tokens, tags): tokens joined, and spans of consecutive tags of a type.
 
-    B, or another type, begins a span; I after O begins one too. A fold over each row's tokens, without a shuffle.
+    One pass of Arrow batches, linear in the tokens of a row, without a shuffle.
     """
-    blank = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("type"), F.array().cast("array<struct<start:int,end:int,type:string>>").alias("out"))
-
-    def step(a, x):
-        end = a["at"] + F.length(x["token"])
-        kind = F.when(x["tag"] == "O", F.lit(None).cast("string")).otherwise(F.regexp_replace(x["tag"], "^[^-]*-", ""))
-        last = F.element_at(a["out"], -1)
-        grown = F.concat(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"), last["type"].alias("type"))))
-        added = F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end"), kind.alias("type"))))
-        same = ~F.startswith(x["tag"], F.lit("B-")) & kind.eqNullSafe(a["type"])
-        out = F.when(kind.isNull(), a["out"]).when(same, grown).otherwise(added)
-        return F.struct((end + len(separator)).alias("at"), kind.alias("type"), out.alias("out"))
-
-    n = F.least(F.size("tokens"), F.size("tags"))
-    pairs = F.zip_with(F.slice("tokens", 1, n), F.slice("tags", 1, n), lambda t, g: F.struct(t.alias("token"), g.alias("tag")))
-    rows = examples.select(key, F.concat_ws(separator, "tokens").alias("text"), F.aggregate(pairs, blank, step, lambda a: a["out"]).alias("s"))
-    return rows.select(key, "text", F.transform("s", lambda s: F.struct(s["start"], s["end"], s["type"], F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("text"))).alias("entities"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(batch.column("tokens").to_pylist(), batch.column("tags").to_pylist(), strict=True))
+            entities = nested([tagged_spans(t or [], g or [], separator) for t, g in rows], _SPAN)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([separator.join(t or []) for t, _ in rows], pa.string()), entities], [key, "text", "entities"])
+
+    return examples.select(key, "tokens", "tags").mapInArrow(each, f"{key} {examples.schema[key].dataType.simpleString()}, text string, entities {SPANS}")
 
 
 def decoded(tokens: list[tuple[str, int, int, float]]) -> list[tuple[int, int, str, float]]:

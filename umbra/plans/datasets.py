@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import fixed, text
 from umbra.operators import corpus, rewriting, spans
-from umbra.plans.registry import query, table
+from umbra.plans.registry import query, spread, table
 from umbra.sources import synthetic
 
 #: Raw type names that exercise exact names, hints, order and unknown ones.
@@ -83,7 +83,7 @@ def _tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of conversations, tagged by their lengths."""
     words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")
     tags = F.array(*map(F.lit, _TAGS))
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), words.alias("tokens"))
+    rows = spread(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), words.alias("tokens"))
     return rows.withColumn("tags", F.transform("tokens", lambda w: F.element_at(tags, F.length(w) % 7 + 1)))
 
 
@@ -118,7 +118,7 @@ def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the words of documents against spans of 25 characters every 40."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     tokens = spans.whitespace_tokens(docs).select("doc_id", "start", "end", (F.col("start") / 40).cast("long").alias("span_id"))
     some = docs.where("length(text) > 5").select("doc_id", F.explode(F.sequence(F.lit(5), F.length("text"), F.lit(40))).alias("start"))
     every = some.select("doc_id", "start", (F.col("start") + 25).alias("end"), F.lit("NAME").alias("type"), (F.col("start") / 40).cast("long").alias("place"))
@@ -174,13 +174,13 @@ def span_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     (list(length(text) ORDER BY length(text)))[(floor(0.95 * (count(*) - 1)) + 1)::INT]::DOUBLE AS p95 FROM documents GROUP BY lang"""
 )
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("v"))
+    docs = spread(spark, sf_dir, "documents").select("lang", F.length("text").alias("v"))
     return corpus.summary(docs, "v", "lang").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS \"avg\", min(n_chars) AS \"min\", max(n_chars) AS \"max\" FROM documents GROUP BY source")
 def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("f."), F.col("source")))
+    docs = spread(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("f."), F.col("source")))
     out = corpus.per_format(docs, "n_chars")
     return out.select(F.expr("substring(ext, 2)").alias("source"), "n", F.round("avg", 6).alias("avg"), "min", "max")
 
@@ -191,18 +191,18 @@ _MIX_SQL = """(SELECT item_id AS id, text, 'benchmark' AS source, 0 AS source_id
 @query(f"SELECT id, source, source_idx, sha256(text) AS text_sha256 FROM ({_MIX_SQL})")
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 25 benchmark items (the cap is the feature) and all documents, shuffled by hash."""
-    a, b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    a, b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), spread(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return corpus.mixed([("benchmark", a, 25), ("documents", b, 0)], "id", seed=7).select("id", "source", "source_idx", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY sha256('3:' || doc_id), doc_id LIMIT 200")
 def sampled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.sampled(table(spark, sf_dir, "documents").select("doc_id", "lang"), 200, "doc_id", seed=3)
+    return corpus.sampled(spread(spark, sf_dir, "documents").select("doc_id", "lang"), 200, "doc_id", seed=3)
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS text_sha256 FROM documents WHERE length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) >= 200")
 def lm_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.lm_corpus(table(spark, sf_dir, "documents"), 200, cjk=False).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return corpus.lm_corpus(spread(spark, sf_dir, "documents"), 200, cjk=False).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(
@@ -212,7 +212,7 @@ def lm_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CASE WHEN i > 1 THEN id || ':' || (i - 1) ELSE id END AS id, trim('Mask: ' || a || ' => ' || b) AS text FROM r"""
 )
 def pairs_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("id"), F.col("text").alias("input"), F.lower("text").alias("output"))
+    pairs = spread(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("id"), F.col("text").alias("input"), F.lower("text").alias("output"))
     return corpus.pairs_corpus(pairs, "Mask: {RAW_TEXT} => ")
 
 
@@ -225,25 +225,25 @@ def rewriter_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans from conversations and the same texts with every sixth letter's words masked."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").alias("original"))
+    rows = spread(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").alias("original"))
     rows = rows.withColumn("masked", F.regexp_replace("original", r"\b[A-Z]\w+", "<NAME_1>"))
     return spans.masked_pairs(rows).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
 
 
 @query("SELECT doc_id, start, substring(text, start + 1, 512) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 256))::INT AS start FROM documents)")
 def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.windows(table(spark, sf_dir, "documents"), 512)
+    return spans.windows(spread(spark, sf_dir, "documents"), 512)
 
 
 @query()
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("tokens"))
+    rows = spread(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("tokens"))
     return spans.packed_blocks(rows, 128).select("run", "block", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("tokens_sha256"))
 
 
 @query()
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.greedy_chunks(table(spark, sf_dir, "documents"), 64).select("doc_id", "chunk", F.length("text").alias("n_chars"))
+    return spans.greedy_chunks(spread(spark, sf_dir, "documents"), 64).select("doc_id", "chunk", F.length("text").alias("n_chars"))
 
 
 def _digits_sql(key: str, salt: str, size: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import fixed, text
 from umbra.operators import detection, documents, rewriting
-from umbra.plans.registry import query, table
+from umbra.plans.registry import query, spread, table
 from umbra.sources import files, synthetic
 from umbra.streaming import deid
 
@@ -21,7 +21,7 @@ def _quoted(s: str) -> str:
 @query()
 def entity_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all English rules, conflicts resolved, spans masked; how many spans and characters of each type."""
-    masked = deid.deidentified(table(spark, sf_dir, "documents").select("doc_id", "text"), mode="blackbox")
+    masked = deid.deidentified(spread(spark, sf_dir, "documents").select("doc_id", "text"), mode="blackbox")
     each = masked.select(F.explode("events").alias("e"))
     return each.groupBy(F.col("e.entity_type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("e.replacement")).cast("long").alias("masked_chars"))
 
@@ -29,7 +29,7 @@ def entity_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def deid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole de-identification of each document: entities, replaced text, events and replacement map."""
-    out = deid.deidentified(table(spark, sf_dir, "documents").select("doc_id", "text"), mode="replace")
+    out = deid.deidentified(spread(spark, sf_dir, "documents").select("doc_id", "text"), mode="replace")
     return out.select("doc_id", F.length("output").alias("chars"), F.size("entities").alias("n_entities"), F.sha2("output", 256).alias("output_sha256"), F.size("replacement_map").alias("n_replacements"), F.lit("1.0").alias("schema_version"))
 
 
@@ -40,7 +40,7 @@ def _type_counts_oracle() -> str:
 
 @query(_type_counts_oracle())
 def type_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", *[F.regexp_count("text", F.lit(text.java(p))).cast("long").alias(f"n_{k.lower()}") for k, p in fixed.TYPE_PATTERNS.items()])
 
 
@@ -53,7 +53,7 @@ def _en_oracle() -> str:
 
 @query(_en_oracle())
 def en_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", *[F.regexp_count("text", F.lit(text.java(p, f))).cast("long").alias(f"n_{k.lower()}") for k, p, f in fixed.EN_RULES])
 
 
@@ -83,7 +83,7 @@ def zh_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     (list_sum(list_transform(s[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))::INT AS "end", m[i] AS found FROM e"""
 )
 def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.finds(table(spark, sf_dir, "documents"), ["doc_id"], "text", text.java(_EMAIL))
+    return text.finds(spread(spark, sf_dir, "documents"), ["doc_id"], "text", text.java(_EMAIL))
 
 
 def _masked_oracle(value: str) -> str:
@@ -93,7 +93,7 @@ def _masked_oracle(value: str) -> str:
 
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their e-mail addresses as entities, found in the JVM."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, sf_dir, "documents").select("doc_id", "text")
     found = text.finds(docs, ["doc_id"], "text", text.java(_EMAIL))
     entity = F.struct("start", "end", F.lit("EMAIL").alias("type"), F.lit(1.0).alias("score"), F.lit("regex").alias("source"))
     listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
@@ -126,7 +126,7 @@ def replacement_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS context_hash, substring(sha256(text), 1, 16) AS short_hash, '<NAME:' || substring(sha256('NAME:' || lang || ':' || source), 1, 8) || '>' AS placeholder FROM documents")
 def context_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     return docs.select("doc_id", text.context_hash(F.col("text")).alias("context_hash"), text.short_hash(F.col("text")).alias("short_hash"), text.placeholder(F.lit("NAME"), F.col("lang"), F.col("source")).alias("placeholder"))
 
 
@@ -183,7 +183,7 @@ def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("segment_id"), "text")
+    return spread(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("segment_id"), "text")
 
 
 @query("SELECT conv_id AS doc_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS context_hash, length(string_agg(text, chr(10) ORDER BY turn))::INT AS n_chars FROM conversations GROUP BY conv_id")
@@ -257,12 +257,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.html_texts(table(spark, sf_dir, "pages")).select("page_id", "url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return files.html_texts(spread(spark, sf_dir, "pages")).select("page_id", "url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()
 def html_text_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.html_texts(table(spark, sf_dir, "pages"), collapse=True).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return files.html_texts(spread(spark, sf_dir, "pages"), collapse=True).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()

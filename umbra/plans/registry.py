@@ -25,3 +25,9 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts in as many tasks as there are cores at least: a small file may be one row group, and so one task."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

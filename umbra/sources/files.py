@@ -152,7 +152,10 @@ def reader_of(path: str) -> Callable[[bytes], Iterator[Segment]]:
 
 
 def scan(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """Segments (see SEGMENTS) of all files below path: each file is read and parsed in one task."""
+    """Segments (see SEGMENTS) of all files below path: each file is read and parsed in one task.
+
+    Spark's file sources leave out files without any bytes.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
     readers = dict(READERS)
 
