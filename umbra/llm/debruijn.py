@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from umbra.llm.repeats import Spec, applied, by_window, repeats, whole
+from umbra.llm.repeats import Spec, applied, by_window, repeats, whole, windows_of_texts
 
 _NAMES = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
 
@@ -37,5 +37,5 @@ def remove_repeats(docs: DataFrame, width: int = 35, anchor: int = 12, first_sta
     """
     spec = Spec(True, width, anchor)
     r = repeats(docs, spec, first_stays)
-    marks = whole(r, first_stays).unionByName(by_window(r, r.branches, spec, first_stays))
+    marks = whole(r, first_stays).unionByName(by_window(windows_of_texts(r, r.branches, spec), first_stays))
     return applied(r, marks, spec, _outcome, _NAMES, "doc_id long, n_words long, n_removed long, kept_sha256 string")

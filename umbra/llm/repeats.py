@@ -156,26 +156,25 @@ def repeats(docs: DataFrame, spec: Spec, first_stays: bool = False) -> Repeats:
 
 
 def with_text(r: Repeats, some: DataFrame) -> DataFrame:
-    """The texts that have some of the branching paths, each with their places, anchors and numbers of copies."""
-    listed = some.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "anchor", "copies")).alias("branches"))
+    """The texts that have some of the branching paths, each with their places, anchors and numbers of copies and ways."""
+    listed = some.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "anchor", "copies", "ways")).alias("branches"))
     return r.rows.join(listed, same_row(r.rows, listed)).select(r.rows.doc_id, r.rows.sig, "text", "branches")
 
 
-def branch_arrays(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, anchor, copies) of the branching paths of rows lo to hi of a batch."""
+def branch_arrays(batch: pa.RecordBatch, lo: int, hi: int, last: str = "copies") -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, copies or what `last` names) of the branching paths of rows lo to hi of a batch."""
     part = batch.column("branches")[lo:hi]
     text = part.value_parent_indices().to_numpy() if hasattr(part, "value_parent_indices") else np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
     flat = part.flatten()
-    place, anchor, copies = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor", "copies"))
+    place, anchor, copies = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor", last))
     return text, place >> SHIFT, place & ((1 << SHIFT) - 1), anchor, copies
 
 
-def by_window(r: Repeats, some: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
-    """(doc_id, sig, place) of the repeated windows of branching paths, found window by window: no group is ever gathered.
+WINDOWS = "doc_id long, sig int, place long, copies long, one long, two long"
 
-    first_stays: only windows with an earlier copy. Sizes of groups don't matter here; counts and minima are aggregated
-    before they are shuffled.
-    """
+
+def windows_of_texts(r: Repeats, some: DataFrame, spec: Spec) -> DataFrame:
+    """A row for each window of branching paths (see WINDOWS), from their texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +186,35 @@ def by_window(r: Repeats, some: DataFrame, spec: Spec, first_stays: bool) -> Dat
                 arrays = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(at << SHIFT | 1), pa.array(copies[path]), _signed(one), _signed(two)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "place", "copies", "one", "two"])
 
-    rows = with_text(r, some).mapInArrow(each, "doc_id long, sig int, place long, copies long, one long, two long")
+    return with_text(r, some).mapInArrow(each, WINDOWS)
+
+
+def windows_of_regions(regions: DataFrame, spec: Spec) -> DataFrame:
+    """A row for each window of branching paths (see WINDOWS), from their contents (doc_id, sig, place, copies, content)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_buffers(batch.column("content"))
+            place, copies = (batch.column(k).to_numpy() for k in ("place", "copies"))
+            for lo, hi in blocks(offsets, 1 << 17):
+                symbols = Symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], spec)
+                start, n = place[lo:hi] >> SHIFT, place[lo:hi] & ((1 << SHIFT) - 1)
+                path, one, two = symbols.windows(symbols.first[:-1], n)
+                at = start[path] + np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
+                owner = pa.array(path + lo)
+                arrays = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(at << SHIFT | 1), pa.array(copies[path + lo]), _signed(one), _signed(two)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "place", "copies", "one", "two"])
+
+    return regions.mapInArrow(each, WINDOWS)
+
+
+def by_window(windows: DataFrame, first_stays: bool) -> DataFrame:
+    """(doc_id, sig, place) of the repeated ones among windows, found one by one: no group is ever gathered.
+
+    first_stays: only windows with an earlier copy. Sizes of groups don't matter here; counts and minima are aggregated
+    before they are shuffled.
+    """
+    rows = settled(windows, "windows")
     low = F.min(F.struct("doc_id", "sig", "place")).alias("low")
     known = settled(rows.groupBy("one", "two").agg(F.sum("copies").alias("n"), low).where("n > 1"), "edges")
     hit = rows.join(known, ["one", "two"])

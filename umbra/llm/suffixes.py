@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import string_buffers
-from umbra.llm.repeats import SHIFT, Repeats, Spec, applied, branch_arrays, by_window, repeats, whole, with_text
+from umbra.llm.common import settled, string_buffers
+from umbra.llm.repeats import SHIFT, Repeats, Spec, applied, branch_arrays, by_window, repeats, whole, windows_of_regions, with_text
 
 #: Ways on from one anchor that are put into one suffix order; of anchors with more, windows are counted one by one.
 WAYS = 1024
 #: Bytes of regions that are ordered at once; an anchor's regions stay together.
 REGIONS = 1 << 20
 _NAMES = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
-_BRANCH = "anchor long, copies long, doc_id long, sig int, place long, content binary"
+_REGION = "anchor long, copies long, ways long, doc_id long, sig int, place long, content binary"
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +64,12 @@ def _contents(spec: Spec):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             text, start, n, anchor, copies = branch_arrays(batch, 0, batch.num_rows)
+            ways = branch_arrays(batch, 0, batch.num_rows, "ways")[-1]
             begin = offsets[text] + start
             content = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n - 1 + spec.length).tolist(), strict=True)]
             owner = pa.array(text)
-            arrays = [pa.array(anchor), pa.array(copies), batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(start << SHIFT | n), pa.array(content, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "copies", "doc_id", "sig", "place", "content"])
+            arrays = [pa.array(anchor), pa.array(copies), pa.array(ways), batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(start << SHIFT | n), pa.array(content, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "copies", "ways", "doc_id", "sig", "place", "content"])
 
     return each
 
@@ -138,8 +139,12 @@ def _factors(spec: Spec, first_stays: bool):
     return each
 
 
-def by_suffix(r: Repeats, some: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
-    regions = with_text(r, some).mapInArrow(_contents(spec), _BRANCH)
+def regions_of(r: Repeats, spec: Spec) -> DataFrame:
+    """A row for each branching path with the bytes of its windows: texts are read for them once."""
+    return settled(with_text(r, r.branches).mapInArrow(_contents(spec), _REGION), "regions")
+
+
+def by_suffix(regions: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
     near = regions.repartition("anchor").sortWithinPartitions("anchor")
     return near.mapInArrow(_factors(spec, first_stays), "doc_id long, sig int, place long")
 
@@ -168,9 +173,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = 80, first_s
     """
     spec = Spec(False, length, anchor)
     r = repeats(docs, spec, first_stays)
-    few, many = r.branches.where(F.col("ways") <= ways), r.branches.where(F.col("ways") > ways)
-    marks = whole(r, first_stays).unionByName(by_suffix(r, few, spec, first_stays))
-    if not many.isEmpty():
-        marks = marks.unionByName(by_window(r, many, spec, first_stays))
+    regions = regions_of(r, spec)
+    few, many = regions.where(F.col("ways") <= ways), regions.where(F.col("ways") > ways)
+    marks = whole(r, first_stays).unionByName(by_suffix(few, spec, first_stays))
+    marks = marks.unionByName(by_window(windows_of_regions(many, spec), first_stays))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return applied(r, marks, spec, _outcome, _NAMES, schema)
