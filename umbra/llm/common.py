@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 #: Rows and bytes of an Arrow batch; texts may be very long, so the default of 10,000 rows isn't bounded enough.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

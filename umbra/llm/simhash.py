@@ -167,7 +167,14 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUC
     Of rows with that doc_id one stays; a component all of whose doc_ids are null keeps one row too.
     """
     rows = labelled(prepared(docs, "doc_id", "text"), width, radius, bucket)
-    first = rows.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig")).alias("first")).select("first.doc_id", "first.sig")
-    whole = docs.select(F.col("doc_id").alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("s"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = whole.join(first, whole.d.eqNullSafe(first.doc_id) & (whole.s == first.sig), "left_semi")
-    return kept.dropDuplicates(["d", "s"]).select("row.*")
+    times = rows.groupBy("label", "doc_id", "sig").agg(F.count("*").alias("n"))
+    first = times.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig", "n")).alias("first"))
+    # Keys have no nulls, and those of a partition are far smaller than its texts: hashed, they spare sorting texts.
+    keys = lambda d, sig: [F.coalesce(d, F.lit(0)).alias("d"), F.isnull(d).alias("none"), sig.alias("s")]
+    kept = settled(first.select(*keys(F.col("first.doc_id"), F.col("first.sig")), "first.n"), "kept")
+    whole = docs.select(*keys(F.col("doc_id"), F.hash(F.coalesce("text", F.lit("")))), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    of = lambda some: whole.join(some.select("d", "none", "s").hint("shuffle_hash"), ["d", "none", "s"], "left_semi")
+    out, again = of(kept.where("n = 1")), kept.where("n > 1")
+    if not again.isEmpty():  # only rows that are there more than once need their copies removed
+        out = out.unionByName(of(again).dropDuplicates(["d", "none", "s"]))
+    return out.select("row.*")
