@@ -222,3 +222,24 @@ def test_rounds(spark):
     rounds = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9), (4, 0.1)], "round int, score double")
     assert tuple(evaluation.running_best(rounds).first()) == (2, 0.9)
     assert sorted(r["round"] for r in evaluation.kept_rounds(rounds, 1, 2).collect()) == [2, 3, 4]
+
+
+def test_datasets_logs_and_files_are_written(spark, tmp_path):
+    report = jsonl.write_dataset(examples(spark), str(tmp_path / "d"), seed=3)
+    written = lambda name: json.loads(spark.read.text(str(tmp_path / "d" / name)).first().value)
+    assert written("manifest")["seed"] == 3
+    assert written("quality")["type_counts"][0] == {"type": "X", "n": 4} == report["type_counts"][0]
+    assert jsonl.span_examples(spark, str(tmp_path / "d" / "dataset")).count() == 3
+    for i in range(2):
+        corpus.append_log(spark.createDataFrame([(i, 0.5)], "round int, score double"), str(tmp_path / "log"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
+    synthetic.write(synthetic.values(synthetic.rows(spark, 5)), synthetic.documents(synthetic.rows(spark, 5)), str(tmp_path / "s"))
+    assert spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "s" / "csv")).count() == 5
+
+
+def test_cells_are_rebuilt(spark):
+    cell = "struct<sheet:string,address:string,row:int,col:int>"
+    cells = spark.createDataFrame([("f", 0, ("csv", "R1C1", 1, 1), "a,a a"), ("f", 1, ("csv", "R1C2", 1, 2), 'say "x"'), ("f", 2, ("csv", "R2C1", 2, 1), "z")], f"path string, segment_id int, cell {cell}, text string")
+    some = spark.createDataFrame([("f", 0, 1, "a", "b"), ("f", 0, 0, "a", "Q"), ("f", 2, 0, "none", "y"), ("f", 2, 1, "", "y")], "path string, segment_id int, seq int, original string, value string")
+    got = [(r.row, r.line) for r in files.csv_lines(files.rebuilt_cells(cells, some)).orderBy("row").collect()]
+    assert got == [(1, '"Q,b a","say ""x"""'), (2, "z")]

@@ -118,3 +118,8 @@ def per_format(df: DataFrame, value: str, path: str = "path") -> DataFrame:
     """count, avg, min and max of a measure by file extension."""
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     return df.groupBy(ext.alias("ext")).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Appends rows to a log of CSV files; each has its header."""
+    rows.write.mode("append").option("header", True).csv(folder)

@@ -269,3 +269,12 @@ def html_text_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded_fake_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", synthetic.pick(F.col("c_custkey"), "kind", ["ID", "PHONE", "EMAIL", "NAME", "ADDRESS", "PASSPORT", "MEDICAL_ID", "OTHER"]).alias("type"), F.col("c_name").alias("original"), F.sha2("c_mktsegment", 256).alias("context_hash"))
     return rewriting.fake_values(rows).select("c_custkey", "type", "value")
+
+
+@query("SELECT 'nation' AS path, (n_nationkey + 1)::INT AS \"row\", n_nationkey || ',##' || substring(n_name, 3) || ',\"' || n_regionkey || ',x\"' AS line FROM nation")
+def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines with the first two letters of each name replaced in its cell."""
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("row"), "n_nationkey", "n_name", F.concat("n_regionkey", F.lit(",x")).alias("n_regionkey"))
+    cells = documents.cells(nations, "row").select(F.lit("nation").alias("path"), (F.col("row") * 3 + F.col("col")).alias("segment_id"), F.struct("sheet", "address", "row", "col").alias("cell"), "text")
+    names = cells.where("cell.col = 2").select("path", "segment_id", F.lit(0).alias("seq"), F.substring("text", 1, 2).alias("original"), F.lit("##").alias("value"))
+    return files.csv_lines(files.rebuilt_cells(cells, names))

@@ -197,6 +197,29 @@ def rebuilt_csv(data: str, values: list[tuple[int, int, str, str]]) -> str:
     return out.getvalue()
 
 
+def rebuilt_cells(segments: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Segments (path, segment_id, cell, text) with, in each, the first occurrence of every original replaced, in order.
+
+    replacements: (path, segment_id, seq, original, value). Cells without any stay as they are; masked values are values
+    like others, so nothing is left as it was because of a mode.
+    """
+    listed = replacements.groupBy("path", "segment_id").agg(F.array_sort(F.collect_list(F.struct("seq", "original", "value"))).alias("r"))
+
+    def first(t, x):
+        place = F.call_function("locate", x["original"], t)
+        return F.when((place > 0) & (F.length(x["original"]) > 0), F.concat(F.substring(t, F.lit(1), place - 1), x["value"], F.substring(t, place + F.length(x["original"]), F.length(t)))).otherwise(t)
+
+    joined = segments.join(listed, ["path", "segment_id"], "left")
+    return joined.withColumn("text", F.when(F.col("r").isNull(), F.col("text")).otherwise(F.aggregate("r", F.col("text"), first))).drop("r")
+
+
+def csv_lines(cells: DataFrame) -> DataFrame:
+    """(path, row, line): the lines of CSV files from their cells, quoted where they must be."""
+    text = F.when(F.col("text").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("text"))
+    rows = cells.groupBy("path", F.col("cell.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col("cell.col").alias("col"), text.alias("text")))).alias("c"))
+    return rows.select("path", "row", F.concat_ws(",", F.transform("c", lambda x: x["text"])).alias("line"))
+
+
 def write_texts(df: DataFrame, path: str, text: str = "output") -> None:
     """A text file for each partition, a line for each document (line feeds escaped), as a cluster writes them."""
     df.select(F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), "\n", r"\\n").alias("value")).write.text(path)

@@ -70,3 +70,18 @@ def write_manifest(path: str, **fields: object) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(fields, f, ensure_ascii=False, indent=2, default=str)
+
+
+def write_dataset(examples: DataFrame, folder: str, **about: object) -> dict:
+    """dataset (JSON lines), quality and manifest (one JSON text each) in a folder of any file system.
+
+    The report is over all rows; only its few rows (kinds, types and summaries) come to the driver.
+    """
+    from umbra.operators.corpus import quality_report
+
+    spark = examples.sparkSession
+    write_span_examples(examples, f"{folder}/dataset")
+    report = {name: [r.asDict() for r in df.collect()] for name, df in quality_report(examples).items()}
+    for name, what in (("quality", report), ("manifest", {"dataset": f"{folder}/dataset", **about})):
+        spark.createDataFrame([(json.dumps(what, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    return report

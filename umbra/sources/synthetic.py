@@ -165,3 +165,10 @@ def documents(rows: DataFrame, key: str = "id", day: str = "2025-01-01") -> Data
 
 def rows(spark: SparkSession, n: int, key: str = "id") -> DataFrame:
     return spark.range(n).withColumnRenamed("id", key)
+
+
+def write(values_of: DataFrame, documents_of: DataFrame, folder: str) -> None:
+    """Values as CSV (type, value, context) and JSON lines, documents as text by kind."""
+    values_of.select("type", "value", "context").write.option("header", True).csv(f"{folder}/csv")
+    values_of.write.json(f"{folder}/json")
+    documents_of.select("kind", F.col("text").alias("value")).write.partitionBy("kind").text(f"{folder}/txt")
