@@ -168,8 +168,3 @@ def repetition(text: Column, width: int = 3) -> Column:
 
 def leaked(values: Column, text: Column) -> Column:
     return F.filter(values, lambda v: (v != "") & F.contains(text, v))
-
-
-def p95(values: Column) -> Column:
-    """The value at index int(0.95 * (n - 1)) in order."""
-    return F.element_at(F.array_sort(values), F.floor(F.lit(0.95) * (F.size(values) - 1)).cast("int") + 1)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.functions import fixed
-from umbra.functions.text import canonical_type, cleaned, java, leaked, p95, repetition, triggers
+from umbra.functions.text import canonical_type, cleaned, java, leaked, repetition, triggers
 from umbra.operators.rewriting import markup_blocks, masked_markup, masked_spans
 
 
 def with_predictions(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     """examples (id, input, ...) with prediction, empty where there is none; the last of several (by line) counts."""
-    last = predictions.groupBy("id").agg(F.max_by("prediction", "line").alias("prediction"))
+    last = predictions.groupBy("id").agg(F.max_by(F.coalesce("prediction", F.lit("")), "line").alias("prediction"))
     return examples.join(last, "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
 
 
@@ -123,12 +123,6 @@ def success_rate(checks: DataFrame) -> DataFrame:
     return checks.agg(F.avg(F.col("pii_removed").cast("double")).alias("success_rate"))
 
 
-def timings(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """p50, p95 and mean of a measure, by key."""
-    every = F.collect_list(value)
-    return df.groupBy(*by).agg(F.median(value).alias("p50"), p95(every).alias("p95"), F.avg(value).alias("mean"))
-
-
 def running_best(rounds: DataFrame, score: str = "score", order: str = "round") -> DataFrame:
     """The earliest round with the best score."""
     return rounds.agg(F.max_by(F.col(order), F.struct(F.col(score), -F.col(order))).alias("best_round"), F.max(score).alias("best_score"))

@@ -22,7 +22,7 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     said = F.when(k == 0, F.concat(F.lit("Dear Someone, your address is "), mail, F.lit(". Thanks"))).when(k == 1, "Dear Ann, your address is a@b.org. Thanks").when(k == 2, "Step 1: Dear [/NAME] Thanks").when(k == 3, F.concat(F.lit("Dear "), "c_name", F.lit(", your address is gone.")))
     examples = rows.select(F.col("c_custkey").cast("string").alias("id"), source.alias("input"))
-    predictions = rows.where("c_custkey % 5 < 4").select(F.col("c_custkey").cast("string").alias("id"), said.alias("prediction"), F.col("c_custkey").alias("line"))
+    predictions = rows.select(F.col("c_custkey").cast("string").alias("id"), said.alias("prediction"), F.col("c_custkey").alias("line"))
     return evaluation.with_blocks(evaluation.with_predictions(examples, predictions))
 
 
@@ -93,17 +93,17 @@ def _pairs_of_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     ident, call = F.concat(F.lit("A"), F.lpad(key, 9, "1")), F.concat(F.lit("0912345"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
     rows = table(spark, sf_dir, "customer")
     originals = rows.select(key.alias("name"), F.concat(F.lit("ID "), ident, F.lit(" tel "), call).alias("text"))
-    processed = rows.where("c_custkey % 7 < 6").select(key.alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ID "), ident, F.lit(" tel -"))).otherwise("ID - tel -").alias("text"))
+    processed = rows.select(key.alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ID "), ident, F.lit(" tel -"))).otherwise("ID - tel -").alias("text"))
     return originals, processed
 
 
-@query("SELECT c_custkey::VARCHAR AS name, c_custkey % 2 = 1 AS pii_removed, CASE WHEN c_custkey % 2 = 0 THEN 'A' || lpad(c_custkey::VARCHAR, 9, '1') END AS leaked_id FROM customer WHERE c_custkey % 7 < 6")
+@query("SELECT c_custkey::VARCHAR AS name, c_custkey % 2 = 1 AS pii_removed, CASE WHEN c_custkey % 2 = 0 THEN 'A' || lpad(c_custkey::VARCHAR, 9, '1') END AS leaked_id FROM customer")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluation.leak_check(*_pairs_of_files(spark, sf_dir))
     return rows.select("name", "pii_removed", F.element_at(F.element_at("leaked", F.lit("ID")), 1).alias("leaked_id"))
 
 
-@query("SELECT round(avg((c_custkey % 2)::DOUBLE), 6) AS success_rate FROM customer WHERE c_custkey % 7 < 6")
+@query("SELECT round(avg((c_custkey % 2)::DOUBLE), 6) AS success_rate FROM customer")
 def success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.success_rate(evaluation.leak_check(*_pairs_of_files(spark, sf_dir))).select(F.round("success_rate", 6).alias("success_rate"))
 
