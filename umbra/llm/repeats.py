@@ -158,6 +158,7 @@ def repeats(docs: DataFrame, spec: Spec, first_stays: bool = False) -> Repeats:
 def with_text(r: Repeats, some: DataFrame) -> DataFrame:
     """The texts that have some of the branching paths, each with their places, anchors and numbers of copies and ways."""
     listed = some.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "anchor", "copies", "ways")).alias("branches"))
+    listed = listed.hint("shuffle_hash")  # far smaller than the texts of its partition: hashed, it spares sorting texts
     return r.rows.join(listed, same_row(r.rows, listed)).select(r.rows.doc_id, r.rows.sig, "text", "branches")
 
 
@@ -234,7 +235,7 @@ def whole(r: Repeats, first_stays: bool) -> DataFrame:
 
 def applied(r: Repeats, marks: DataFrame, spec: Spec, outcome: Callable[[memoryview, np.ndarray], tuple], names: dict[str, pa.DataType], schema: str) -> DataFrame:
     """A row for each text: outcome(its bytes, which of its symbols are covered by a marked window)."""
-    listed = marks.groupBy("doc_id", "sig").agg(F.collect_list("place").alias("places"))
+    listed = marks.groupBy("doc_id", "sig").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
     joined = r.rows.join(listed, same_row(r.rows, listed), "left").select(r.rows.doc_id, "text", "places")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
