@@ -89,6 +89,18 @@ def test_one_of_each_group_is_kept(odd, odd_texts):
     assert got.count(None) == len({f for d, f, c in rows if c is None})
 
 
+def test_settled_tables_can_be_dropped(spark):
+    import os
+
+    from umbra.llm import common
+
+    common.settled(spark.range(3).toDF("x"), "some")
+    paths = [p.removeprefix("file://") for p in common._SETTLED]
+    assert paths and all(map(os.path.isdir, paths))
+    common.drop_settled(spark)
+    assert not any(map(os.path.isdir, paths)) and not common._SETTLED
+
+
 def test_empty_table(none):
     assert simhash.near_duplicates(none).collect() == []
     assert simhash.keep_one(none).collect() == []

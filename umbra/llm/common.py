@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SETTLED: list[str] = []
 #: Rows and bytes of an Arrow batch; texts may be very long, so the default of 10,000 rows isn't bounded enough.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -24,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="umbra-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         found = f"file://{_OWN[app]}"
     return found.rstrip("/")
 
@@ -33,9 +37,18 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(spark: SparkSession) -> None:
+    """Deletes the tables written so far: for after the results that read them have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def prepared(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns (extra ones, whatever their names, never reach an operator), with bounded Arrow batches."""
     spark = df.sparkSession
@@ -49,8 +62,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_or_empty(df: DataFrame) -> DataFrame:
-    """doc_id and text of df; a null text counts as empty."""
-    return prepared(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id and text of df; a null text counts as empty, and doc_id may be any whole number."""
+    return prepared(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -110,7 +110,7 @@ def overlaps(data: np.ndarray, offsets: np.ndarray, p: Probe, stretch: int = STR
 
 def probes(benchmark: DataFrame, key: str = "item_id", block_seeds: int = BLOCK_SEEDS) -> Iterator[Probe]:
     """The benchmark in blocks of bounded size; items without text, or with too few words, find nothing."""
-    items = prepared(benchmark, key, "text").where("text is not null")
+    items = prepared(benchmark, key, "text").where("text is not null").withColumn(key, F.col(key).cast("long"))
     words = items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-int(words) * len(MASKS) // (2 * block_seeds)))  # a word and its end take two characters at least
     for k in range(parts):
