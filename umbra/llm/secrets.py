@@ -6,13 +6,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-
-try:  # the standard library's expression parser, under its name since Python 3.11
-    from re import _constants as sre
-    from re import _parser as parser
-except ImportError:  # older Pythons
-    import sre_constants as sre
-    import sre_parse as parser
+from re import _constants as sre  # the standard library's own parser of expressions
+from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
