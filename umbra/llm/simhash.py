@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, bucket: in
     doc_id has none. Empty tables give empty results.
     """
     rows = labelled(docs, width, radius, bucket)
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = settled(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     return rows.join(least, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
