@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import decontaminate, packing, pii, quality, simhash
+from umbra.llm import decontaminate, packing, pii, quality, shingles
 from umbra.llm.common import documents, settled
 
 
@@ -15,7 +15,7 @@ def good_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

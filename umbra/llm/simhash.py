@@ -166,7 +166,11 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUC
 
     Of rows with that doc_id one stays; a component all of whose doc_ids are null keeps one row too.
     """
-    rows = labelled(prepared(docs, "doc_id", "text"), width, radius, bucket)
+    return one_each(docs, labelled(prepared(docs, "doc_id", "text"), width, radius, bucket))
+
+
+def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each label of rows (doc_id, sig, label), as keep_one has them."""
     times = rows.groupBy("label", "doc_id", "sig").agg(F.count("*").alias("n"))
     first = times.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig", "n")).alias("first"))
     # Keys have no nulls, and those of a partition are far smaller than its texts: hashed, they spare sorting texts.
