@@ -14,8 +14,8 @@ _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label; SPDX names; the name as an expression; gate and keyword, in lower case, that every match of the
-#: name holds.
+#: Label; SPDX names; the name as an expression; gate and keyword, in lower case and with single spaces,
+#: that every match of the name holds once its runs of blanks are one space.
 _L = r"licen[cs]e"
 _V = r"(?:,?\s*(?:version|ver\.?|v\.?)?\s*)"
 FAMILIES = (
@@ -32,8 +32,8 @@ FAMILIES = (
     ("bsd", r"BSD-[1234]-Clause(?:-\w+)?", rf"(?:(?:[234]|two|three|four|new|modified|simplified|revised|original)[- ]?(?:clause)?[- ]+)?BSD(?:[- ][234][- ]clause)?(?:[- ]style)?\s+{_L}", "licen", "bsd"),
     ("bsd", r"BSD", r"BSD[- ][1234][- ]Clause", "bsd", "bsd"),
     ("busl", r"BUSL-1\.1", rf"Business\s+Source\s+{_L}(?:{_V}1\.1)?", "licen", "business source"),
-    ("cc0", r"CC0-1\.0", r"(?:Creative\s+Commons\s+(?:Zero|CC0)|CC0)(?:\s+(?:v?1\.0|Universal))*", "cc0", "cc0"),
-    ("cc0", r"CC0", r"Creative\s+Commons\s+Zero(?:\s+v?1\.0)?(?:\s+Universal)?", "creative commons", "zero"),
+    ("cc0", r"CC0-1\.0", r"(?:Creative\s+Commons\s+)?CC0(?:\s+(?:v?1\.0|Universal))*", "cc0", "cc0"),
+    ("cc0", r"CC0", r"Creative\s+Commons\s+Zero(?:\s+(?:v?1\.0|Universal))*", "creative commons", "zero"),
     ("cc-by", r"CC-BY-[1234]\.[05]", r"CC[- ]BY(?![- ](?:NC|SA|ND))(?:[- ][1234]\.[05])?", "cc", "by"),
     ("cc-by-nc", r"CC-BY-NC-[1234]\.[05]", r"CC[- ]BY[- ]NC(?![- ](?:SA|ND))(?:[- ][1234]\.[05])?", "cc", "nc"),
     ("cc-by-nd", r"CC-BY-ND-[1234]\.[05]", r"CC[- ]BY[- ]ND(?:[- ][1234]\.[05])?", "cc", "nd"),
@@ -69,8 +69,8 @@ FAMILIES = (
     ("lgpl", r"LGPL", r"LGPL(?:[- ]?v?(?:2(?:\.[01])?|3(?:\.0)?))?(?:\+|[- ]or[- ]later)?", "gpl", "lgpl"),
     ("libpng", r"libpng(?:-2\.0)?", rf"(?:PNG\s+Reference\s+Library|libpng)\s+{_L}(?:{_V}2)?", "licen", "png"),
     ("lppl", r"LPPL-1\.[0-3][ac]?", rf"LaTeX\s+Project\s+Public\s+{_L}(?:{_V}1\.[0-3][ac]?)?", "licen", "latex project"),
-    ("mit", r"MIT(?:-0|-\w+)?", rf"(?:MIT|Expat)(?:[/ ](?:X11|Expat))?(?:[- ]style)?\s+{_L}", "licen", "mit"),
-    ("mit", r"Expat", rf"Expat\s+{_L}", "licen", "expat"),
+    ("mit", r"MIT(?:-0|-\w+)?", rf"MIT(?:[/ ](?:X11|Expat))?(?:[- ]style)?\s+{_L}", "licen", "mit"),
+    ("mit", r"Expat", rf"Expat(?:[/ ](?:X11|Expat))?(?:[- ]style)?\s+{_L}", "licen", "expat"),
     ("mit-0", r"MIT-0", rf"MIT\s+No\s+Attribution(?:\s+{_L})?", "attribution", "mit no"),
     ("mpl", r"MPL-[12]\.[01](?:-no-copyleft-exception)?", rf"Mozilla\s+Public\s+{_L}(?:{_V}[12]\.[01])?", "licen", "mozilla"),
     ("mpl", r"MPL", r"MPL[- ]?v?[12]\.[01]", "mpl", "mpl"),
@@ -97,7 +97,8 @@ FAMILIES = (
     ("upl", r"UPL-1\.0", rf"Universal\s+Permissive\s+{_L}(?:{_V}1\.0)?", "licen", "universal permissive"),
     ("vim", r"Vim", rf"Vim\s+{_L}", "licen", "vim"),
     ("w3c", r"W3C(?:-\d+)?", rf"W3C(?:\s+Software(?:\s+Notice)?(?:\s+and)?)?\s+{_L}", "licen", "w3c"),
-    ("wtfpl", r"WTFPL", r"(?:WTFPL|Do\s+What\s+The\s+F\S{0,3}\s+You\s+Want\s+To\s+Public\s+License)", "wtfpl", "wtfpl"),
+    ("wtfpl", r"WTFPL", r"WTFPL", "wtfpl", "wtfpl"),
+    ("wtfpl", r"WTFPL", r"Do\s+What\s+The\s+F\S{0,3}\s+You\s+Want\s+To\s+Public\s+License", "licen", "do what the f"),
     ("x11", r"X11", rf"X11\s+{_L}", "licen", "x11"),
     ("zlib", r"Zlib", rf"(?:zlib(?:/libpng)?)\s+{_L}", "licen", "zlib"),
     ("zpl", r"ZPL-[12]\.[01]", rf"Zope\s+Public\s+{_L}(?:{_V}[12]\.[01])?", "licen", "zope"),
@@ -195,10 +196,16 @@ def _base(text: Column) -> dict[str, Column]:
     }
 
 
+def _holds(low: Column, gate: str) -> Column:
+    """Whether low holds the gate, with any run of blanks for a space."""
+    first, *more = gate.split(" ")
+    return F.contains(low, F.lit(first)) & low.rlike(r"\s+".join([first, *more])) if more else F.contains(low, F.lit(first))
+
+
 def detections(texts: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """h1, h2, tier, label, confidence, start, end for what the rules find in the different texts of a table (h1, h2, text).
 
-    A text that holds a rule's gate and keyword is a candidate; the rule's expression then finds its places, in code
+    A text that holds a rule's gate and keyword, its runs of blanks as one space, is a candidate; the rule's expression then finds its places, in code
     points. A find that lies within another of the same or a better tier is suppressed; of equal finds the first in the
     rules' order stays.
     """
@@ -207,8 +214,9 @@ def detections(texts: DataFrame, signatures: list[Rule] | None = None) -> DataFr
     gates = sorted({r.gate for r in signatures})
     gates = [g for g in gates if not any(o != g and o in g for o in gates)]  # a gate that holds another needs no look
     table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.pattern).alias("pattern"), F.lit(r.gate).alias("gate"), F.lit(r.keyword).alias("keyword")) for k, r in enumerate(signatures)])
-    some = texts.where(F.greatest(*[F.contains(low, F.lit(g)) for g in gates])).dropDuplicates(["h1", "h2"])
-    lowered = some.withColumn("low", low)
+    some = texts.where(F.greatest(*[_holds(low, g) for g in gates]))
+    # Made ahead of the aggregate, so that it is made once for each text and not for each rule.
+    lowered = some.withColumn("low", F.regexp_replace(low, r"\s+", " ")).dropDuplicates(["h1", "h2"])
     fits = F.filter(table, lambda r: F.contains(F.col("low"), r["gate"]) & F.contains(F.col("low"), r["keyword"]))
     tried = lowered.select("h1", "h2", "text", F.explode(fits).alias("r")).where("text rlike r.pattern")
     pieces = F.expr("arrays_zip(split(text, r.pattern, -1), regexp_extract_all(text, r.pattern, 0))")
