@@ -11,19 +11,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: The tables written so far and not dropped, and the application that wrote each.
 _SETTLED: list[str] = []
+_WRITER: dict[str, str] = {}
 #: Rows and bytes of an Arrow batch; texts may be very long, so the default of 10,000 rows isn't bounded enough.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="umbra-")
@@ -32,21 +36,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Shuffle files of a finished write are of no further use; without this they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage is cut, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     _SETTLED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITER[path] = spark.sparkContext.applicationId
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _mine(spark: SparkSession) -> list[str]:
+    return [path for path in _SETTLED if _WRITER[path] == spark.sparkContext.applicationId]
+
+
+def settled_so_far(spark: SparkSession) -> set[str]:
+    """The tables that this application has written: what drop_settled is to spare."""
+    return set(_mine(spark))
 
 
-def drop_settled(spark: SparkSession) -> None:
-    """Deletes the tables written so far: for after the results that read them have been written."""
+def drop_settled(spark: SparkSession, spare: set[str] = frozenset()) -> None:
+    """Deletes the tables written so far, but for some: for after all that reads them has been written."""
+    drop(spark, *[path for path in _mine(spark) if path not in spare])
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes settled tables that nothing will read any more: what was made from them is settled itself."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _SETTLED:
-        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for table in tables:
+        path = table if isinstance(table, str) else table.settled_at
+        _SETTLED.remove(path)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def prepared(df: DataFrame, *names: str) -> DataFrame:
@@ -63,7 +95,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(df: DataFrame) -> DataFrame:
     """doc_id and text of df; a null text counts as empty, and doc_id may be any whole number."""
-    return prepared(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return prepared(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text)
+
+
+def digest(*columns: Column | str) -> list[Column]:
+    """Two 64-bit hashes of the columns under different seeds, 128 bits together; a null differs from any value."""
+    known = [c if isinstance(c, Column) else F.col(c) for c in columns]
+    every = [x for c in known for x in (c, F.isnull(c))]
+    return [F.xxhash64(*every), F.xxhash64(F.lit("second seed"), *every)]
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """k1 and k2, which identify a row by its doc_id and text: rows that share them are the same."""
+    k1, k2 = digest(F.coalesce(df["text"], F.lit("")), df["doc_id"].cast("long"))
+    return [k1.alias("k1"), k2.alias("k2")]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,9 @@
-"""Windows of a fixed length that occur more than once in a corpus: what substring deduplication by bytes and by words share.
-
-Each window has an anchor, the stretch of `anchor` symbols in it with the least hash (the leftmost of equals), so that
-equal windows have equal anchors at the same place. Windows in a row with one anchor form a path. Only one row for each
-path is ever shuffled, about one for every (length - anchor) / 2 symbols, and only paths whose anchor occurs more than
-once go further. Equal paths are classes: all windows of a class of two paths or more are repeated. A path that is alone
-in its class, but not with its anchor, branches: some of its windows may be repeated. How branches are resolved is the
-operators' own affair.
+"""What substring deduplication by bytes and by words share: anchors, which tell where a repeated window can be at all.
+
+A window is `length` symbols of one text. Its anchor is the stretch of `anchor` symbols in it with the least hash (the
+leftmost of equals), so that equal windows have equal anchors at the same place. Windows in a row with one anchor are a
+path. Only a row for each path is ever shuffled, and only paths whose anchor occurs more than once go further: this is a
+filter, which no repeated window fails. What is a repeat is decided by the operators, each in its own way.
 """
 
 from __future__ import annotations
@@ -25,6 +23,7 @@ from umbra.llm.common import (
     Words,
     blocks,
     mixed,
+    row_keys,
     running,
     settled,
     stretch,
@@ -35,6 +34,10 @@ from umbra.llm.common import (
 
 #: A path's place in its text: its first window's start, and how many windows it has, in one number.
 SHIFT = 16
+WINDOWS = (1 << SHIFT) - 1
+#: An anchor is hot if it is on more than this share of all paths, so that there are at most 1 / HOT of them; the rows
+#: of a hot one are dealt over SALTS parts wherever they are joined.
+HOT, SALTS = 1 / 1000, 64
 _CODES2 = mixed(BYTE_CODES)
 
 
@@ -55,7 +58,8 @@ class Symbols:
         if spec.words:
             self.at = Words(data, offsets)
             self.first, self.base = self.at.first, WORD_BASES[0]
-            self.one, self.two = running(mixed(self.at.hashes), self.base), running(self.at.hashes, WORD_BASES[1])
+            self.one = running(mixed(self.at.hashes), self.base)
+            self.two = running(self.at.hashes, WORD_BASES[1])
         else:
             self.first, self.base = offsets, BYTE_BASE
             self.one, self.two = running(BYTE_CODES[data], self.base), running(_CODES2[data], WORD_BASES[1])
@@ -73,7 +77,8 @@ class Symbols:
             step = min(width, wide - width)
             left, right = least[:-step], least[step:]
             right_wins = right < left
-            least, place = np.where(right_wins, right, left), np.where(right_wins, place[step:], place[:-step])
+            least = np.where(right_wins, right, left)
+            place = np.where(right_wins, place[step:], place[:-step])
             width += step
         where = place[starts]
         text = np.searchsorted(self.first, starts, "right") - 1
@@ -82,167 +87,138 @@ class Symbols:
         at = np.flatnonzero(begin)
         n = np.diff(np.append(at, len(starts)))
         start, text = starts[at], text[at]
-        return text, start - self.first[text], n, least[start], stretch(self.two, start, start + n - 1 + s.length, WORD_BASES[1])
+        path = stretch(self.two, start, start + n - 1 + s.length, WORD_BASES[1])
+        return text, start - self.first[text], n, least[start], path
+
 
-    def windows(self, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(path, one hash, another) for each window of paths that start at `start` among all symbols."""
-        path = np.repeat(np.arange(len(start)), n)
-        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        end = at + self.spec.length
-        return path, stretch(self.one, at, end, self.base), stretch(self.two, at, end, WORD_BASES[1])
+def spread_out(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(path, place) of each window of paths that start at `start` and have n windows."""
+    path = np.repeat(np.arange(len(start)), n)
+    return path, np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, sig and text: rows of equal doc_id and sig have equal texts, so what holds for one holds for the others."""
-    return text_or_empty(docs).select("doc_id", F.hash("text").alias("sig"), "text")
+    """doc_id, k1, k2 and text: k1 and k2 identify a row by doc_id and text."""
+    rows = text_or_empty(docs)
+    return rows.select("doc_id", *row_keys(rows), "text")
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a.doc_id.eqNullSafe(b.doc_id) & (a.sig == b.sig)
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _runs(batch: pa.RecordBatch, spec: Spec) -> Iterator[tuple[int, int, Symbols]]:
+def runs(batch: pa.RecordBatch, spec: Spec) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Symbols]]:
+    """Runs of a batch's texts: from and to which row, their bytes and offsets, and symbols."""
     data, offsets = string_buffers(batch.column("text"))
     for lo, hi in blocks(offsets, 1 << 17):
-        yield lo, hi, Symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], spec)
+        here, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        yield lo, hi, here, at, Symbols(here, at, spec)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
+@dataclass
+class Anchors:
+    """again: the anchors that occur more than once, one row for each salt; hot: those that have several salts."""
 
-def anchors(rows: DataFrame, spec: Spec) -> DataFrame:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, symbols in _runs(batch, spec):
-                yield pa.RecordBatch.from_arrays([_signed(symbols.paths()[3])], ["anchor"])
+    again: DataFrame
+    hot: np.ndarray
 
-    return rows.mapInArrow(each, "anchor long")
+    def salts(self) -> Column:
+        """The salts that rows of an anchor may have, for the side of a join that has one row for each anchor or path."""
+        few = F.array(F.lit(0))
+        if not len(self.hot):
+            return few
+        return F.when(F.col("anchor").isin(self.hot.tolist()), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(few)
 
 
-def paths(rows: DataFrame, spec: Spec) -> DataFrame:
+def recurring(rows: DataFrame, spec: Spec) -> Anchors:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, symbols in _runs(batch, spec):
-                text, start, n, anchor, path = symbols.paths()
-                owner = pa.array(text + lo)
-                arrays = [_signed(anchor), _signed(path), batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(start << SHIFT | n)]
-                yield pa.RecordBatch.from_arrays(arrays, ["anchor", "path", "doc_id", "sig", "place"])
-
-    return rows.mapInArrow(each, "anchor long, path long, doc_id long, sig int, place long")
-
-
-@dataclass
-class Repeats:
-    """rows: the texts, keyed; found: paths whose anchor occurs again; classes: equal paths, how many, and the first;
-    branches: of anchors with branching paths, the first path of each class and how many classes there are."""
+            for *_, symbols in runs(batch, spec):
+                yield pa.RecordBatch.from_arrays([signed(symbols.paths()[3])], ["anchor"])
 
-    rows: DataFrame
-    found: DataFrame
-    classes: DataFrame
-    branches: DataFrame
+    counts = rows.mapInArrow(each, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    # A table of a row for each anchor is written first: it is also asked for hot ones.
+    again = settled(counts.where("n > 1"), "anchors")
+    total = again.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = again.where(F.col("n") > max(10_000, total * HOT)).select("anchor").toArrow().column("anchor").to_numpy()
+    found = Anchors(again, np.sort(hot.astype(np.int64)))
+    found.again = again.select("anchor", F.explode(found.salts()).alias("salt"))
+    return found
 
 
-def repeats(docs: DataFrame, spec: Spec, first_stays: bool = False) -> Repeats:
-    """first_stays: whether the first path of a class counts as branching too (for it may be earlier or later than others)."""
-    rows = keyed(docs)
-    # Tables of a row for each anchor are written first: a join whose sides are both plain exchanges can split a hot anchor.
-    again = settled(anchors(rows, spec).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = settled(paths(rows, spec).join(again, "anchor", "left_semi"), "paths")
-    classes = settled(found.groupBy("anchor", "path").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "sig", "place")).alias("first")), "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("copies").alias("least")).where("ways > 1" + ("" if first_stays else " and least = 1"))
-    branches = classes.join(settled(several.select("anchor", "ways"), "ways"), "anchor").select("anchor", "ways", "copies", "first.*")
-    return Repeats(rows, found, classes, settled(branches, "branches"))
+Extra = Callable[[np.ndarray, np.ndarray, Symbols, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
 
 
-def with_text(r: Repeats, some: DataFrame) -> DataFrame:
-    """The texts that have some of the branching paths, each with their places, anchors and numbers of copies and ways."""
-    listed = some.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "anchor", "copies", "ways")).alias("branches"))
-    listed = listed.hint("shuffle_hash")  # far smaller than the texts of its partition: hashed, it spares sorting texts
-    return r.rows.join(listed, same_row(r.rows, listed)).select(r.rows.doc_id, r.rows.sig, "text", "branches")
+def occurrences(rows: DataFrame, spec: Spec, found: Anchors, extra: Extra, schema: str, what: str) -> DataFrame:
+    """A row for each path whose anchor occurs again: anchor, salt, lead, k1, k2, place, and what `extra` gives.
 
-
-def branch_arrays(batch: pa.RecordBatch, lo: int, hi: int, last: str = "copies") -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor, copies or what `last` names) of the branching paths of rows lo to hi of a batch."""
-    part = batch.column("branches")[lo:hi]
-    text = part.value_parent_indices().to_numpy() if hasattr(part, "value_parent_indices") else np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
-    flat = part.flatten()
-    place, anchor, copies = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor", last))
-    return text, place >> SHIFT, place & ((1 << SHIFT) - 1), anchor, copies
-
-
-WINDOWS = "doc_id long, sig int, place long, copies long, one long, two long"
-
-
-def windows_of_texts(r: Repeats, some: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each window of branching paths (see WINDOWS), from their texts."""
+    extra(bytes, offsets, symbols, start among all symbols, windows, path) gives the columns that schema names. lead is
+    a column of rows to order by, first of all.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    hot = found.hot
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, symbols in _runs(batch, spec):
-                text, start, n, _, copies = branch_arrays(batch, lo, hi)
-                path, one, two = symbols.windows(symbols.first[text] + start, n)
-                at = start[path] + np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
-                owner = pa.array(text[path] + lo)
-                arrays = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(at << SHIFT | 1), pa.array(copies[path]), _signed(one), _signed(two)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "place", "copies", "one", "two"])
+            for lo, _, here, at, symbols in runs(batch, spec):
+                text, start, n, anchor, path = symbols.paths()
+                owner = pa.array(text + lo)
+                salt = np.zeros(len(text), np.int32)
+                if len(hot):
+                    is_hot = np.isin(anchor.view(np.int64), hot)
+                    k1 = batch.column("k1").to_numpy()[text + lo].view(np.uint64)
+                    salt[is_hot] = (mixed(k1 + start.view(np.uint64)) % np.uint64(SALTS))[is_hot]
+                arrays = [signed(anchor), pa.array(salt), *(batch.column(k).take(owner) for k in ("lead", "k1", "k2"))]
+                arrays += [pa.array(start << SHIFT | n), *extra(here, at, symbols, symbols.first[text] + start, n, path)]
+                yield pa.RecordBatch.from_arrays(arrays, ["anchor", "salt", "lead", "k1", "k2", "place", *names])
 
-    return with_text(r, some).mapInArrow(each, WINDOWS)
+    every = rows.mapInArrow(each, f"anchor long, salt int, lead long, k1 long, k2 long, place long, {schema}")
+    return settled(every.join(found.again, ["anchor", "salt"], "left_semi"), what)
 
 
-def windows_of_regions(regions: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each window of branching paths (see WINDOWS), from their contents (doc_id, sig, place, copies, content)."""
+SOURCE = ("lead", "k1", "k2", "place")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("content"))
-            place, copies = (batch.column(k).to_numpy() for k in ("place", "copies"))
-            for lo, hi in blocks(offsets, 1 << 17):
-                symbols = Symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], spec)
-                start, n = place[lo:hi] >> SHIFT, place[lo:hi] & ((1 << SHIFT) - 1)
-                path, one, two = symbols.windows(symbols.first[:-1], n)
-                at = start[path] + np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
-                owner = pa.array(path + lo)
-                arrays = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), pa.array(at << SHIFT | 1), pa.array(copies[path + lo]), _signed(one), _signed(two)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "place", "copies", "one", "two"])
 
-    return regions.mapInArrow(each, WINDOWS)
+def with_text(rows: DataFrame, some: DataFrame, fields: list[str]) -> DataFrame:
+    """The texts that some of the paths (k1, k2 and fields) are in, each once, with their list `some`.
 
+    Rows that share doc_id and text are one: only where there are such rows are their texts made distinct.
+    """
+    listed = some.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("some"))
+    twice = settled(rows.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "twice")
+    # The lists of a partition are far smaller than its texts: hashed, they spare sorting texts.
+    of = lambda part: rows.join(part.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "some")
+    if twice.isEmpty():
+        return of(listed)
+    again = of(listed.join(twice, ["k1", "k2"], "left_semi")).dropDuplicates(["k1", "k2"])
+    return of(listed.join(twice, ["k1", "k2"], "left_anti")).unionByName(again)
 
-def by_window(windows: DataFrame, first_stays: bool) -> DataFrame:
-    """(doc_id, sig, place) of the repeated ones among windows, found one by one: no group is ever gathered.
 
-    first_stays: only windows with an earlier copy. Sizes of groups don't matter here; counts and minima are aggregated
-    before they are shuffled.
-    """
-    rows = settled(windows, "windows")
-    low = F.min(F.struct("doc_id", "sig", "place")).alias("low")
-    known = settled(rows.groupBy("one", "two").agg(F.sum("copies").alias("n"), low).where("n > 1"), "edges")
-    hit = rows.join(known, ["one", "two"])
-    if first_stays:
-        hit = hit.where(F.struct("doc_id", "sig", "place") > F.col("low"))
-    return hit.select("doc_id", "sig", "place")
+def listed_places(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, pa.StructArray]:
+    """The text of each entry of the lists `some` of rows lo to hi of a batch, and the entries."""
+    part = batch.column("some")[lo:hi]
+    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(hi - lo), sizes), part.flatten()
+
 
+Outcome = Callable[[memoryview, np.ndarray], tuple]
 
-def whole(r: Repeats, first_stays: bool) -> DataFrame:
-    """(doc_id, sig, place) of the paths all of whose windows are repeated, or (first_stays) have an earlier copy."""
-    several = r.classes.where("copies > 1")
-    hit = r.found.join(several, ["anchor", "path"])
-    if first_stays:
-        hit = hit.where(F.struct(r.found.doc_id, r.found.sig, r.found.place) > F.col("first"))
-    return hit.select(r.found.doc_id, r.found.sig, r.found.place)
 
+def applied(rows: DataFrame, marks: DataFrame, spec: Spec, outcome: Outcome, schema: dict[str, str]) -> DataFrame:
+    """A row for each text: outcome(its bytes, which of its symbols are covered by a marked window).
 
-def applied(r: Repeats, marks: DataFrame, spec: Spec, outcome: Callable[[memoryview, np.ndarray], tuple], names: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """A row for each text: outcome(its bytes, which of its symbols are covered by a marked window)."""
-    listed = marks.groupBy("doc_id", "sig").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
-    joined = r.rows.join(listed, same_row(r.rows, listed), "left").select(r.rows.doc_id, "text", "places")
+    marks: k1, k2 and place (windows in a row); the same place may be marked more than once, and counts once.
+    """
+    listed = marks.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")).hint("shuffle_hash")
+    joined = rows.join(listed, ["k1", "k2"], "left").select("doc_id", "text", "places")
+    kinds = [pa.int64() if t == "long" else pa.string() for t in schema.values()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             places = batch.column("places")
-            bounds, flat = np.concatenate(([0], np.cumsum(places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))), places.flatten().to_numpy()
+            sizes = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bounds, flat = np.concatenate(([0], np.cumsum(sizes))), places.flatten().to_numpy()
             out = []
             for lo, hi in blocks(offsets):
                 here, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -251,11 +227,14 @@ def applied(r: Repeats, marks: DataFrame, spec: Spec, outcome: Callable[[memoryv
                 mine = flat[bounds[lo] : bounds[hi]]
                 start = np.repeat(first[:-1], np.diff(bounds[lo : hi + 1])) + (mine >> SHIFT)
                 np.add.at(step, start, 1)
-                np.add.at(step, start + (mine & ((1 << SHIFT) - 1)) - 1 + spec.length, -1)
+                np.add.at(step, start + (mine & WINDOWS) - 1 + spec.length, -1)
                 covered = np.cumsum(step[:-1]) > 0
                 raw = memoryview(np.ascontiguousarray(here))
                 out += [outcome(raw[at[i] : at[i + 1]], covered[first[i] : first[i + 1]]) for i in range(hi - lo)]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), names.values(), strict=True)] if out else [pa.array([], t) for t in names.values()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+            if out:
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            else:
+                columns = [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *schema])
 
-    return joined.mapInArrow(each, schema)
+    return joined.mapInArrow(each, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in schema.items()))
