@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import text_or_empty
+from umbra.llm.common import settled, text_or_empty
 from umbra.llm.tokens import encoder, paths
 
 #: Documents that are packed together, about; more fill sequences better, fewer pack faster and in less memory.
@@ -118,12 +118,15 @@ def pack(
     A document is its ids and then end_id, cut every `room` ids: whole sequences, and one shorter piece at most. The
     documents are dealt into groups of about `group` by a hash of doc_id, row and seed, so no doc_id or source makes a
     large group, and the pieces of each group are packed on their own, longest first, into the first sequence with room.
-    Columns as in PIECES, and `ids` if keep_ids. A null or empty text is its end_id alone; repeated rows and rows with a
+    What encoding gives is written first, so that rows are numbered as they stand in files and a task that is run again
+    deals them as before.
+    Columns as in PIECES, and `ids` if keep_ids; other columns of docs, whatever their names, are left out. A very long
+    text is encoded whole, in memory that grows with it. A null or empty text is its end_id alone; repeated rows and rows with a
     null doc_id are packed like others. An empty table gives no pieces.
     """
     vocabulary, ranks = paths(vocabulary, ranks)
     schema = "doc_id long, total long, sums array<long>" + ", ids array<int>" * keep_ids
-    rows = text_or_empty(docs).mapInArrow(_encoded(vocabulary, ranks, room, end_id, keep_ids), schema)
-    groups = max(1, -(-docs.count() // group))
+    rows = settled(text_or_empty(docs).mapInArrow(_encoded(vocabulary, ranks, room, end_id, keep_ids), schema), "encoded")
+    groups = max(1, -(-rows.count() // group))
     dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(_packed(room, keep_ids), PIECES + ", ids array<int>" * keep_ids)
