@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -165,18 +166,41 @@ def spans_of(tags: np.ndarray) -> list[Span]:
 
 
 WINDOW, STRIDE, MARGIN = 96, 48, 36
+#: A region is at most so long; a longer one is cut, with OVERLAP characters in both parts.
+LONGEST, OVERLAP = 4096, 512
 _TRIGGER = np.zeros(CHARS, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
+#: What stands for an @ in addresses that are spelled out.
+SPELLED_AT = re.compile(r"[(\[{<]\s?at\s?[)\]}>]", re.ASCII | re.IGNORECASE)
 
 
-def regions(x: np.ndarray) -> list[tuple[int, int]]:
-    """Where spans may be: what lies within MARGIN characters of a digit or an @, which every kind has."""
+def regions(x: np.ndarray, spelled: list[int] = []) -> list[tuple[int, int, int, int]]:  # noqa: B006
+    """(start, end, from, to): where spans may be, and from where to where those that begin there belong to this region.
+
+    Spans lie within MARGIN characters of a digit, an @ or a spelled one, which every kind has. Neighbouring regions
+    that were one too long overlap, but each character belongs to one of them.
+    """
     at = np.flatnonzero(_TRIGGER[x])
+    if spelled:
+        at = np.unique(np.concatenate((at, np.array(spelled))))
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > 2 * MARGIN)
     first, last = np.concatenate(([at[0]], at[cut + 1])), np.concatenate((at[cut], [at[-1]]))
-    return [(max(0, a - MARGIN), min(len(x), b + MARGIN + 1)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    out = []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        lo, hi = max(0, a - MARGIN), min(len(x), b + MARGIN + 1)
+        begins = list(range(lo, max(lo + 1, hi - OVERLAP), LONGEST - OVERLAP))
+        for k, begin in enumerate(begins):
+            end = min(hi, begin + LONGEST) if k + 1 < len(begins) else hi
+            own = begin + (OVERLAP // 2 if k else 0)
+            to = begins[k + 1] + OVERLAP // 2 if k + 1 < len(begins) else hi
+            out.append((begin, end, own, to))
+    return out
+
+
+def spelled_ats(text: str) -> list[int]:
+    return [m.start() for m in SPELLED_AT.finditer(text)]
 
 
 def windows(size: int) -> list[int]:
@@ -184,13 +208,15 @@ def windows(size: int) -> list[int]:
     return list(range(0, max(1, size - WINDOW + STRIDE), STRIDE))
 
 
-def train(examples: list[tuple[str, list[Span]]], hidden: int = 16, rounds: int = 7, batch: int = 96, rate: float = 0.025, seed: int = 5) -> Tagger:
+def train(
+    examples: list[tuple[str, list[Span]]], hidden: int = 20, rounds: int = 7, batch: int = 128, rate: float = 0.03, seed: int = 5
+) -> Tagger:
     """A tagger from texts with labelled spans (kind as a number of KINDS, start, end), by Adam on windows of regions."""
     ids, gold = [], []
     for text, spans in examples:
         x, y = codes(text), tags_of(len(text), spans)
-        for lo, hi in regions(x):
-            for at in windows(hi - lo):
+        for lo, hi, _, _ in regions(x, spelled_ats(text)):
+            for at in windows(hi - lo)[::2]:  # side by side; overlaps would teach little more
                 part = slice(lo + at, min(hi, lo + at + WINDOW))
                 ids.append(np.pad(x[part], (0, WINDOW - (part.stop - part.start)), constant_values=PAD))
                 gold.append(np.pad(y[part], (0, WINDOW - (part.stop - part.start))))
@@ -220,9 +246,15 @@ def tagged(model: Tagger, texts: list[str], cells: int = 1 << 14) -> list[list[t
 
     Overlapping windows are scored on their own; where they overlap, their scores are averaged, each weighted by its
     distance from its window's ends, and one Viterbi pass decodes the whole region, so that no span depends on where a
-    window ended. margin: how much better the span scores than being outside, for each character.
+    window ended. Texts may be of any length: regions are bounded, and of overlapping ones each decides for its own part.
+    margin: how much better the span scores than being outside, for each character.
     """
-    where = [(i, lo, hi, x) for i, t in enumerate(texts) for x in [codes(t)] for lo, hi in regions(x)]
+    where, own = [], []
+    for i, t in enumerate(texts):
+        x = codes(t)
+        for lo, hi, first, last in regions(x, spelled_ats(t)):
+            where.append((i, lo, hi, x))
+            own.append((first, last))
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     bell = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
     order = sorted(range(len(where)), key=lambda k: where[k][2] - where[k][1])
@@ -251,60 +283,126 @@ def tagged(model: Tagger, texts: list[str], cells: int = 1 << 14) -> list[list[t
         for j, k in enumerate(group):
             i, lo, _, _ = where[k]
             for kind, a, b in spans_of(tags[: steps[j], j]):
+                if not own[k][0] <= lo + a < own[k][1]:
+                    continue
                 gain = scores[np.arange(a, b), j, tags[a:b, j]] - scores[a:b, j, 0]
                 found[i].append((kind, lo + a, lo + b, float(gain.mean())))
     return found
 
 
+#: What may stand before a value of each kind, and before numbers that are none.
+_CUES = {
+    "email": "mail to|write to|e-mail|contact|reach me at|courriel|schreib an|correo|from|cc",
+    "ip": "host|server at|ip|from|address|ping|via|login from|gateway|adresse",
+    "card": "card|card no|visa|paid with|charged to|karte|carte|tarjeta|cc number|mastercard",
+    "phone": "call|tel|phone|tel.|mobile|fax|ring me on|appelez le|telefon|ruf|llame al|text|dial|cell",
+    "none": "order|invoice|isbn|page|room|no.|ref|tracking|build|version|in|since|about|parcel|ticket|article|sku|serial|id",
+}
+_WORDS = (
+    "the of and to in is that it was for on with as at be this have from or by one had not but what all were when we "
+    "there can an your which their said if do will each about how up out them then she many some so these would other "
+    "der die und das ist nicht mit für auf sich ein auch nach wie im von zu den des dem werden aus bei noch einen über "
+    "le la les des un une est dans que pour pas sur au avec ce il sont mais comme plus par je été où très à être nous "
+    "el los las por con para una su al lo más pero sus ya este sí porque esta entre cuando muy sin sobre también me"
+).split()
+_SYLLABLES = "an ter ou re che ist la mo pa ver zu qui des por ing tion äu é ñe ü ka lo th er nd st en in at ß ç ez".split()
+
+
 def synthetic(n: int, seed: int) -> list[tuple[str, list[Span]]]:
-    """Invented sentences, some with labelled personal data and some with numbers that are none."""
+    """Invented texts, some with labelled personal data in usual and unusual forms and some with numbers that are none.
+
+    Unusual forms are those that no base expression has: addresses spelled out, version 6 and defanged IP addresses, card
+    numbers in other groups or with a mistyped digit, and telephone numbers without a plus sign.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda items: items[int(rng.integers(len(items)))]
+    chance = lambda p: rng.random() < p
+    some = lambda a, b: int(rng.integers(a, b))
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    syllables = "an ter ou re che ist la mo pa ver zu qui des por ing tion äu é ñe ü ka lo".split()
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
-    plain = lambda: "".join(c for c in word() + word() if c.isascii()) or "ab"
+    hexes = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
+
+    def word() -> str:
+        w = pick(_WORDS) if chance(0.5) else "".join(pick(_SYLLABLES) for _ in range(some(1, 4)))
+        return w.capitalize() if chance(0.15) else w
+
+    def plain() -> str:
+        return ("".join(c for c in word() + word() if c.isascii() and c.isalpha()) or "ab").lower()
+
+    def email() -> str:
+        name = plain() + pick([".", "_", "", "-", ""]) + pick([plain(), digits(some(0, 4)), ""])
+        name, host = name.strip("._-"), [*pick([[plain()], [plain() + digits(1)], ["mail", plain()]]), pick(["com", "org", "net", "de", "fr", "es", "example.com"])]
+        if chance(0.45):
+            return f"{name}@{'.'.join(host)}"
+        at = pick([" (at) ", " [at] ", "(at)", "[at]", " {at} ", " @ ", " (AT) ", " [AT] "])
+        dot = pick([".", ".", " dot ", " [dot] ", "[dot]", " (dot) ", " DOT "]) if at != " @ " else pick([".", " . "])
+        return name + at + dot.join(host)
+
+    def ip() -> str:
+        if chance(0.4):
+            return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        if chance(0.3):
+            return pick(["[.]", "(.)", " . ", "[dot]"]).join(str(x) for x in rng.integers(0, 256, 4))
+        groups = [hexes(some(1, 5)).lstrip("0") or "0" for _ in range(8)]
+        if chance(0.7):
+            a = some(1, 5)
+            return ":".join(groups[:a]) + "::" + ":".join(groups[: some(1, 6 - a)])
+        return ":".join(groups)
 
     def card() -> str:
-        body = pick(["4", "5", "3", "6"]) + digits(int(rng.choice([14, 14, 14, 13, 12])))
+        body = pick("45363") + digits(int(rng.choice([14, 14, 14, 14, 13, 12])))
         total = sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(map(int, reversed(body))))
-        number = body + str(-total % 10)
-        sep = pick(["", "", " ", "-"])
-        return sep.join(number[i : i + 4] for i in range(0, len(number), 4))
-
-    def secret() -> list[str]:
-        return [0, lambda: plain() + pick([".", "_", "", "-"]) + digits(int(rng.integers(0, 4))) + "@" + plain() + digits(int(rng.integers(0, 2))) + "." + pick(["example.com", "com", "org", "net", "de", "co.uk"])], [1, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))], [2, card], [3, phone]  # type: ignore[return-value]
+        number = body + str((-total + (0 if chance(0.4) else some(1, 10))) % 10)
+        if chance(0.3):
+            number = digits(16)
+        sep = pick(["", "", "", " ", "-", ".", "/", "  ", "_"])
+        cuts = [0, 4, 10, 15] if len(number) == 15 else list(range(0, len(number) + 4, 4))
+        return sep.join(filter(None, (number[a:b] for a, b in zip(cuts, cuts[1:], strict=False))))
 
     def phone() -> str:
-        a, b, c = str(rng.integers(200, 990)), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.integers(20, 99)} {digits(3)} {digits(7)}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}"])
+        a, b, c = str(some(200, 990)), digits(3), digits(4)
+        return pick([
+            lambda: f"+1 ({a}) {b}-{c}", lambda: f"({a}) {b}-{c}", lambda: f"{a}-{b}-{c}", lambda: f"{a}.{b}.{c}", lambda: f"({a}){b}-{c}", lambda: f"1-{a}-{b}-{c}",
+            lambda: f"+{some(20, 99)} {digits(3)} {digits(7)}", lambda: f"+1-{a}-{b}-{c}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}", lambda: f"0{digits(3)}/{digits(7)}", lambda: f"0{digits(2)}-{digits(8)}",
+            lambda: "0" + digits(1) + "".join(" " + digits(2) for _ in range(4)), lambda: f"020 {digits(4)} {digits(4)}", lambda: f"6{digits(2)} {digits(3)} {digits(3)}", lambda: f"00{some(20, 99)} {digits(3)} {digits(7)}",
+            lambda: f"{a} {b} {c}", lambda: f"0{digits(4)} {digits(6)}", lambda: f"6{digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+        ])()
 
     def harmless() -> str:
         return pick([
-            lambda: f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", lambda: digits(int(rng.integers(1, 7))), lambda: f"{rng.integers(1900, 2040)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}",
-            lambda: f"{rng.integers(1, 24)}:{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: "".join(pick("0123456789abcdef") for _ in range(40)),
-            lambda: f"password={''.join(pick('0123456789abcdef') for _ in range(18))}", lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"@{plain()}", lambda: f"{rng.integers(1, 20)}-{rng.integers(20, 60)}",
-            lambda: f"§{rng.integers(1, 99)}", lambda: f"{digits(2)}%", lambda: f"({rng.integers(1, 30)})", lambda: f"No. {digits(5)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"ISO {digits(4)}-{digits(1)}",
+            lambda: f"{some(1, 9)}.{some(0, 9)}", lambda: digits(some(1, 7)), lambda: digits(some(6, 11)), lambda: f"{some(1900, 2040)}-{some(10, 13)}-{some(10, 29)}", lambda: f"{some(10, 29)}.{some(10, 13)}.{some(1900, 2040)}",
+            lambda: f"{some(1, 24)}:{digits(2)}", lambda: f"{some(10, 24)}:{digits(2)}:{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: hexes(40), lambda: hexes(32),
+            lambda: f'token = "{hexes(40)}"', lambda: f"password={hexes(18)}", lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"@{plain()}", lambda: f"{some(1, 20)}-{some(20, 60)}",
+            lambda: f"§{some(1, 99)}", lambda: f"{digits(2)}%", lambda: f"({some(1, 30)})", lambda: f"{digits(3)},{digits(3)}", lambda: f"{some(1, 900)},{digits(3)},{digits(3)}", lambda: f"ISO {digits(4)}-{digits(1)}",
+            lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: ":".join(hexes(2).upper() for _ in range(6)), lambda: f"{digits(4)}-{digits(2)}", lambda: f"{plain()}-{digits(5)}", lambda: f"{some(1990, 2030)}/{some(1990, 2030)}",
+            lambda: f"{digits(2)}x{digits(2)}", lambda: f"{digits(3)}-{digits(4)}-{plain()[:2]}", lambda: f"{some(1, 99)}.{digits(3)},{digits(2)}", lambda: f"CC BY-NC {some(1, 5)}.0", lambda: f"version {some(1, 9)}.{some(0, 9)}.{some(0, 20)}",
         ])()
 
-    kinds = secret()
+    makers = [("email", email), ("ip", ip), ("card", card), ("phone", phone)]
     out = []
     for _ in range(n):
-        text, spans = "", []
-        for _ in range(int(rng.integers(1, 4))):
-            text += " ".join(word() for _ in range(int(rng.integers(2, 9)))) + pick([" ", " ", " ", ". ", ", ", "\n", ": ", ' "'])
-            if rng.random() < 0.62:
-                kind, make = pick(kinds)
-                value = make()
-                spans.append((kind, len(text), len(text) + len(value)))
+        text, spans, style = "", [], pick(["", "", "", "", "", "", "!!", "mark", " |"])
+        join = lambda: pick(["###", "$$$", "%%%", "&&&", "***", "!!"]) if style == "mark" else style  # noqa: E731, B023
+        for _ in range(some(1, 4)):
+            text += "".join(word() + join() + " " for _ in range(some(2, 9)))
+            k = some(0, 4) if chance(0.62) else None
+            if chance(0.4):
+                cue = pick(_CUES[makers[k][0] if k is not None else "none"].split("|"))
+                text += (cue.capitalize() if chance(0.3) else cue) + pick([" ", " ", ": ", ":", " = ", " no ", ' "'])
+            elif chance(0.2):
+                text = text.rstrip() + pick([". ", ", ", "\n", ": ", ' "', " - ", " ("])
+            if k is not None:
+                value = makers[k][1]()
+                spans.append((k, len(text), len(text) + len(value)))
             else:
                 value = harmless()
-            text += value + pick([" ", " ", ". ", ", ", "\n", '" '])
-        out.append((text + word(), spans))
+            text += value + join() + pick([" ", " ", " ", " ", ". ", ", ", "\n", '" ', ") ", "; "])
+        text += " ".join(word() for _ in range(some(1, 4)))
+        loud = "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+        out.append((loud if style == "!!" else text, spans))
     return out
 
 
 @lru_cache(4)
-def trained(examples: int = 1600, seed: int = 11) -> Tagger:
+def trained(examples: int = 4500, seed: int = 11) -> Tagger:
     """The tagger from so many synthetic examples; once for each process."""
     return train(synthetic(examples, seed))
