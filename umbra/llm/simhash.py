@@ -10,13 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Words, blocks, prepared, settled, string_buffers, text_or_empty
+from umbra.llm.common import Words, blocks, prepared, row_keys, settled, string_buffers, text_or_empty
 from umbra.llm.graph import components
 
 #: Buckets of up to so many different fingerprints are compared within one row; larger ones go another way, just as exact.
 BUCKET = 4096
 
 
+#: A row by its id, and by k1 and k2, which are hashes of doc_id and text: rows that share them are the same.
+KEY = ("doc_id", "k1", "k2")
+
+
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
     """2**(radius+1) - 1 bit masks such that any `radius` bits lie outside at least one of them.
 
@@ -60,19 +64,20 @@ def _fingerprints(width: int):
                         part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
                         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[lo + k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(out.view(np.int64))], ["doc_id", "sig", "fp"])
+            keys = [batch.column(k) for k in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out.view(np.int64))], [*KEY, "fp"])
 
     return each
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, sig, fp): 64-bit SimHash of every whole text, A-Z in lower case, over shingles of `width` words.
+    """(doc_id, k1, k2, fp): 64-bit SimHash of every whole text, A-Z in lower case, over shingles of `width` words.
 
-    sig is a hash of the text: rows of equal doc_id and sig are the same.
     Repeats count. Fewer words make one shingle; a text without words, or a null one, has fingerprint zero.
     """
-    rows = text_or_empty(docs).select("doc_id", F.hash("text").alias("sig"), "text")
-    return rows.mapInArrow(_fingerprints(width), "doc_id long, sig int, fp long")
+    rows = text_or_empty(docs)
+    keyed = rows.select("doc_id", *row_keys(rows), "text")
+    return keyed.mapInArrow(_fingerprints(width), "doc_id long, k1 long, k2 long, fp long")
 
 
 def _bucket_edges(radius: int):
@@ -138,15 +143,20 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     return edges.unionByName(more).distinct()
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts for work that grows with the number of texts but not with their size: as many as there are shuffle parts."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def labelled(docs: DataFrame, width: int, radius: int, bucket: int) -> DataFrame:
-    """(doc_id, sig, fp, label) for each row of docs; rows of one component have one label, a fingerprint of theirs.
+    """(doc_id, k1, k2, fp, label) for each row of docs; rows of one component have one label, a fingerprint of theirs.
 
     Copies share a fingerprint and are grouped by it before any pairing, so a large group of copies is one candidate.
     """
     fps = settled(fingerprints(docs, width), "fingerprints")
-    classes = settled(fps.select("fp").distinct(), "classes")
+    classes = settled(fps.select("fp").distinct().repartition(_parts(docs)), "classes")
     label = components(links(classes, radius, bucket), "a", "b")
-    return fps.join(label, fps.fp == label.node, "left").select("doc_id", "sig", "fp", F.coalesce("label", "fp").alias("label"))
+    return fps.join(label, fps.fp == label.node, "left").select(*KEY, "fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -170,15 +180,14 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, bucket: int = BUC
 
 
 def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with one row of each label of rows (doc_id, sig, label), as keep_one has them."""
-    times = rows.groupBy("label", "doc_id", "sig").agg(F.count("*").alias("n"))
-    first = times.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig", "n")).alias("first"))
-    # Keys have no nulls, and those of a partition are far smaller than its texts: hashed, they spare sorting texts.
-    keys = lambda d, sig: [F.coalesce(d, F.lit(0)).alias("d"), F.isnull(d).alias("none"), sig.alias("s")]
-    kept = settled(first.select(*keys(F.col("first.doc_id"), F.col("first.sig")), "first.n"), "kept")
-    whole = docs.select(*keys(F.col("doc_id"), F.hash(F.coalesce("text", F.lit("")))), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    of = lambda some: whole.join(some.select("d", "none", "s").hint("shuffle_hash"), ["d", "none", "s"], "left_semi")
+    """docs with one row of each label of rows (doc_id, k1, k2, label), as keep_one has them."""
+    times = rows.groupBy("label", *KEY).agg(F.count("*").alias("n"))
+    first = times.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), *KEY, "n")).alias("first"))
+    kept = settled(first.select("first.k1", "first.k2", "first.n"), "kept")
+    whole = docs.select(*row_keys(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # Keys of a partition are far smaller than its texts: hashed, they spare sorting texts.
+    of = lambda some: whole.join(some.select("k1", "k2").hint("shuffle_hash"), ["k1", "k2"], "left_semi")
     out, again = of(kept.where("n = 1")), kept.where("n > 1")
     if not again.isEmpty():  # only rows that are there more than once need their copies removed
-        out = out.unionByName(of(again).dropDuplicates(["d", "none", "s"]))
+        out = out.unionByName(of(again).dropDuplicates(["k1", "k2"]))
     return out.select("row.*")
