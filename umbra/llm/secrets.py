@@ -40,9 +40,9 @@ RULES = (
     Rule("chat", r"\bxox[abposr]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"\b[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("cloud_key", r"\bAIza[A-Za-z0-9_-]{35}|\bASIA[A-Z0-9]{16}\b"),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("bearer", r"\bBearer [A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z0-9+.-]{2,}+://[^\s:/@]++:[^\s:/@]{3,}+@"),
     Rule("package", r"\b(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})"),
 )
 
@@ -258,7 +258,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)
     Each run of texts is an index segment: the trigrams its texts have are posted, each rule's Boolean query intersects
     postings, and the rule's expression is applied to the texts that remain; a rule without mandatory trigrams is
     applied to all. Spans are kind:start:end in code points, by start and then rule order; spans of different rules may
-    overlap. A null or empty text has none. Repeated rows each give a row; an empty table gives none.
+    overlap. A null or empty text has none; a very long one is looked at whole, by expressions that read it once. Repeated
+    rows each give a row; other columns, whatever their names, are left out; an empty table gives none.
     """
     schema = "doc_id long, " + "".join(f"n_{r.kind} long, " for r in rules[:base]) + "base_sha256 string, spans string"
     return text_or_empty(docs).mapInArrow(_scan(rules, base), schema)
