@@ -8,9 +8,10 @@ import corpus_pipeline
 from umbra.llm import pii, quality, tagger
 from umbra.llm.queries import ORACLES, QUERIES
 
-from .test_near_duplicates import components_of
+from .test_near_duplicates import grouped
 from .test_packing import ids_of
 from .test_scans import _leaky
+from .test_shingles import shingle_set, similar
 
 
 def plain_votes(text):
@@ -34,7 +35,7 @@ def texts(seed):
     item = prose(4)
     base = [prose(rng.randint(3, 9)) for _ in range(60)]
     near = [b.replace("an", "on", 1) for b in base[:10]]
-    rows = base + near + base[10:15] + [f"{base[20]} {item} {base[21]}", f"{base[22]} Mail me at jo.doe@example.com or 10.1.2.3.", f"{base[23]} Call +1 (415) 555-1234 now."]
+    rows = base + near + base[10:15] + [f"{base[20]} {item} {base[21]}", f"{prose(5)} Mail me at jo.doe@example.com or 10.1.2.3.", f"{prose(5)} Call +1 (415) 555-1234 now."]
     rows += ["BUY NOW!! CHEAP!! " * 15, "a b c", "", None, "x### y*** z$$$ " * 10]
     return list(enumerate(rows)), [(0, item), (1, prose(5)), (2, None)]
 
@@ -50,7 +51,9 @@ def test_the_pipeline_against_its_stages_done_plainly(spark, tmp_path):
         counts[v] = counts.get(v, 0) + 1
     p = quality.fit(counts)
     left = [(d, t) for (d, t), (v, failed) in zip(docs, votes, strict=True) if p[v] >= 0.5 and not failed]
-    left = [(d, t) for (d, t), (_, _, c) in zip(left, components_of(left), strict=True) if d == c]
+    # Near-duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more.
+    label = grouped([shingle_set(t) for _, t in left], similar)
+    left = [(d, t) for (d, t), k, i in zip(left, label, range(len(left)), strict=True) if k == i]
     left = [(d, t) for d, t in left if not _leaky(t, [x for _, x in items])]
     assert 40 < len(left) < len(docs) - 8
     model = tagger.trained()

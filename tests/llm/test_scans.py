@@ -130,6 +130,15 @@ def test_secrets_have_the_base_spans_and_all_of_the_rules(tricky):
         assert sorted(filter(None, r.spans.split(","))) == sorted(every)
 
 
+def test_long_secrets_are_found_whole(spark):
+    token = "eyJ" + "a1" * 3000 + ".eyJ" + "b2" * 5000 + "." + "c3" * 40
+    login = "longscheme" * 4 + "://" + "user" * 50 + ":" + "pass" * 80 + "@"
+    plain = "a." * 30000 + "://" + "z" * 30000  # read once, not from each of its places
+    docs = spark.createDataFrame([(0, f"x {token} y"), (1, f"see {login}host/x"), (2, plain)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert f"web_token:2:{2 + len(token)}" in got[0].split(",") and got[1] == f"url_login:4:{4 + len(login)}" and got[2] == ""
+
+
 def test_trigram_queries_miss_no_match():
     texts = [t for t in TRICKY if len(t) < 1000]
     for rule in secrets.RULES:
