@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -140,7 +142,11 @@ def hashed_text(kind: str, original: str, context: str) -> str:
     return form() if form else f"<{kind}:{digest[:8]}>"
 
 
-def replaced(text: str, spans: list[tuple], mode: str) -> tuple[str, list[tuple]]:
+#: A source of replacement values: (type, original, hash of the whole text) -> value; the same for the same three.
+Provider = Callable[[str, str, str], str]
+
+
+def replaced(text: str, spans: list[tuple], mode: str, provider: Provider = hashed_text) -> tuple[str, list[tuple]]:
     """The text with its spans replaced or masked, and the events, from the last span to the first.
 
     While spans are apart, the pieces between them are joined once; an overlap splices into the text as already changed.
@@ -149,7 +155,7 @@ def replaced(text: str, spans: list[tuple], mode: str) -> tuple[str, list[tuple]
     done, parts, edge, rest = [], [], len(text), None
     for start, end, kind, _, source in sorted(spans, key=lambda s: -s[0]):
         original = text[start:end]
-        value = hashed_text(kind, original, context) if mode == "replace" else MASK * (end - start)
+        value = provider(kind, original, context) if mode == "replace" else MASK * (end - start)
         done.append((kind, original, value, start, start + len(value), source))
         if end > edge or rest is not None:
             rest = text[:edge] + "".join(reversed(parts)) if rest is None else rest
@@ -161,8 +167,14 @@ def replaced(text: str, spans: list[tuple], mode: str) -> tuple[str, list[tuple]
     return rest if rest is not None else text[:edge] + "".join(reversed(parts)), done
 
 
-def deidentified(docs: DataFrame, found_by: Sequence[Detector], mode: str = "replace") -> DataFrame:
-    """docs with entities, output, events and replacement_map: detection, resolution and rewriting in one pass of batches."""
+def deidentified(
+    docs: DataFrame, found_by: Sequence[Detector], mode: str = "replace", provider: Provider | None = None
+) -> DataFrame:
+    """docs with entities, output, events and replacement_map: detection, resolution and rewriting in one pass of batches.
+
+    provider: where values come from, instead of hashes in the form of their type; it is asked once for each type and
+    original of a text, so that a text names one thing in one way.
+    """
     mode, names = mode_of(mode), docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +182,7 @@ def deidentified(docs: DataFrame, found_by: Sequence[Detector], mode: str = "rep
             spans, outputs, all_events, maps = [], [], [], []
             for text in batch.column(names.index("text")).to_pylist():
                 found = spans_in(text or "", found_by)
-                output, done = replaced(text or "", found, mode)
+                output, done = replaced(text or "", found, mode, lru_cache(None)(provider) if provider else hashed_text)
                 spans.append(found)
                 outputs.append(output)
                 all_events.append(done)
@@ -259,6 +271,24 @@ def filled_placeholders(text: Column, context: Column, unknown: str = "PII") ->
     return rewritten(text, p, one)
 
 
+def provided_placeholders(df: DataFrame, provider: Provider, column: str = "text", unknown: str = "PII") -> DataFrame:
+    """df with `filled`: the i-th placeholder of a text is provider(canonical type, RAW_TYPE:i, hash of the text)."""
+    pattern = re.compile(fixed.PLACEHOLDER)
+
+    @F.pandas_udf("string")
+    def fill(texts: pd.Series, contexts: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for text, context, names in zip(texts, contexts, kinds, strict=True):
+            known, count = dict(names), iter(range(len(text or "")))
+            put = lambda m: provider(known.get(m.group(2)) or unknown, f"{m.group(2)}:{next(count)}", context)  # noqa: E731, B023
+            out.append(pattern.sub(put, text or ""))
+        return pd.Series(out)
+
+    raw = F.array_distinct(F.regexp_extract_all(column, F.lit(java(fixed.PLACEHOLDER)), F.lit(2)))
+    named = F.transform(raw, lambda r: F.array(r, F.coalesce(canonical_type(r, unknown), F.lit(unknown))))
+    return df.withColumn("filled", fill(column, context_hash(F.col(column)), named))
+
+
 def noisy(df: DataFrame, key: str = "doc_id", seed: int = 0, swap: float = 0.35, space: float = 0.25, double: float = 0.08) -> DataFrame:
     """df with `noisy`: text with punctuation swapped, spaced or doubled. Each row's chances come from seed and its key."""
     swaps = {a: b for x, y in fixed.SWAPS.items() for a, b in ((x, y), (y, x))}

@@ -8,6 +8,7 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.sources.rebuilds import WRITERS, Writer, artifact_of, put
+
 #: One segment: text, page_index, bbox (left, top, right, bottom), cell (sheet, address, row, col), metadata.
 Segment = tuple[str, int | None, dict | None, dict | None, dict]
 SEGMENTS = (
@@ -138,33 +141,58 @@ READERS: dict[str, Callable[[bytes], Iterator[Segment]]] = {
 }
 
 
-def register(ext: str, reader: Callable[[bytes], Iterator[Segment]]) -> None:
-    """A reader for an extension: a PDF or OCR engine where there is one; its segments carry page_index and bbox."""
-    READERS[ext.lower()] = reader
+def register(ext: str, reader: Callable[[bytes], Iterator[Segment]] | None = None, writer: Writer | None = None) -> None:
+    """A reader and a writer for an extension: a PDF or OCR engine where there is one.
+
+    Its segments carry page_index and bbox, and so do the changes that its writer draws into the file.
+    """
+    if reader:
+        READERS[ext.lower()] = reader
+    if writer:
+        WRITERS[ext.lower()] = writer
 
 
-def reader_of(path: str) -> Callable[[bytes], Iterator[Segment]]:
+def reader_of(path: str, readers: dict | None = None) -> Callable[[bytes], Iterator[Segment]]:
     """The reader of a path; an extension without one raises (PDF and images need an engine that is registered)."""
-    ext = os.path.splitext(path)[1].lower()
-    if ext not in READERS:
+    ext, known = os.path.splitext(path)[1].lower(), READERS if readers is None else readers
+    if ext not in known:
         raise ValueError(f"no reader for {ext or path}")
-    return READERS[ext]
-
-
-def scan(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    return known[ext]
+
+
+def empty_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """(path, content) of files without any bytes, which Spark's file sources leave out; only their names are gathered."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [s.getPath() for s in fs.globStatus(where) or ()]
+    while todo:
+        place = todo.pop()
+        status = fs.getFileStatus(place)
+        if status.isDirectory():
+            todo += [s.getPath() for s in fs.listStatus(place) if recursive or not s.isDirectory()]
+        elif status.getLen() == 0 and fnmatch(place.getName(), glob) and place.getName()[0] not in "._":
+            found.append((place.toString(), b""))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
+def scan(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, most: int = 1 << 30) -> DataFrame:
     """Segments (see SEGMENTS) of all files below path: each file is read and parsed in one task.
 
-    Spark's file sources leave out files without any bytes.
+    A file of more than `most` bytes raises: it is held whole. One without bytes is read like others.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
+    source = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    small = F.when(F.col("length") <= most, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("too large: "), "path")))
+    files = source.load(path).select("path", small.alias("content")).unionByName(empty_files(spark, path, glob, recursive))
     readers = dict(READERS)
+    names = ["path", "ext", "segment_id", "text", "page_index", "bbox", "cell", "metadata"]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        READERS.update(readers)
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                rows = [(name, os.path.splitext(name)[1].lower(), i, *s) for i, s in enumerate(reader_of(name)(bytes(data)))]
-                yield pd.DataFrame(rows, columns=["path", "ext", "segment_id", "text", "page_index", "bbox", "cell", "metadata"]).astype({"page_index": "Int32"})
+                ext = os.path.splitext(name)[1].lower()
+                rows = [(name, ext, i, *s) for i, s in enumerate(reader_of(name, readers)(bytes(data)))]
+                yield pd.DataFrame(rows, columns=names).astype({"page_index": "Int32"})
 
     return files.mapInPandas(each, SEGMENTS)
 
@@ -225,20 +253,18 @@ def write_texts(df: DataFrame, path: str, text: str = "output") -> None:
     df.select(F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), "\n", r"\\n").alias("value")).write.text(path)
 
 
-def rebuild(results: DataFrame, folder: str) -> DataFrame:
-    """Writes each result (path, output) as {stem}.deid{ext} in a shared folder; returns path and artifact."""
+def rebuild(results: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """Writes each result (path, output) as {stem}.deid{ext} in a folder of any file system; returns path and artifact.
+
+    With root given, a file keeps its place below it, so that files of one name in two folders stay two.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             names = []
             for name, text in zip(frame["path"], frame["output"], strict=True):
-                stem, ext = os.path.splitext(os.path.basename(name))
-                names.append(os.path.join(folder, f"{stem}.deid{ext}"))
-                part = f"{names[-1]}.{os.getpid()}.tmp"
-                with open(part, "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
-                os.replace(part, names[-1])  # a task that is run again leaves one whole file
+                names.append(artifact_of(name, os.path.dirname(name) if root is None else root, folder))
+                put(names[-1], text.encode())
             yield pd.DataFrame({"path": frame["path"], "artifact": names})
 
-    os.makedirs(folder, exist_ok=True)
     return results.select("path", "output").mapInPandas(each, "path string, artifact string")

@@ -36,9 +36,13 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, prediction, line), the id from id, example_id or _id, the text from prediction or output."""
+    """(id, prediction, line), the id from id, example_id or _id, the text from prediction or output.
+
+    line orders lines by file and place: the last one of an id, by file name and byte offset, has the greatest.
+    """
     rows = spark.read.schema("id string, example_id string, _id string, prediction string, output string").json(path)
-    return rows.select(first_of("id", "example_id", "_id").alias("id"), first_of("prediction", "output").alias("prediction"), F.monotonically_increasing_id().alias("line"))
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return rows.select(first_of("id", "example_id", "_id").alias("id"), first_of("prediction", "output").alias("prediction"), line.alias("line"))
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:

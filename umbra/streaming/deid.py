@@ -9,9 +9,15 @@ from umbra.operators import rewriting
 from umbra.operators.detection import Detector, detectors
 
 
-def deidentified(docs: DataFrame, language: str = "en", mode: str = "replace", found_by: list[Detector] | None = None) -> DataFrame:
+def deidentified(
+    docs: DataFrame,
+    language: str = "en",
+    mode: str = "replace",
+    found_by: list[Detector] | None = None,
+    provider: rewriting.Provider | None = None,
+) -> DataFrame:
     """docs (doc_id, text) with entities, output, events and replacement_map; docs may be a stream."""
-    return rewriting.deidentified(docs, found_by or detectors(language), mode)
+    return rewriting.deidentified(docs, found_by or detectors(language), mode, provider)
 
 
 def run(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: str = "doc_id long, text string", **options: str) -> StreamingQuery:
