@@ -45,8 +45,9 @@ LEADERS, BLOCK = 8, 1024
 #: Common shingles come last in the order of all; one text of so many is looked at to find up to COMMON of them.
 #: Any order gives the same links: this one keeps what many texts share out of the prefixes.
 SHARE, OFTEN, COMMON = 16, 8, 1 << 16
-#: Least and most 64-bit words of a set's parities: as many bits as it has shingles, rounded up to a power of two.
-_LEAST, _MOST = 4, 1 << 10
+#: Least and most 64-bit words of a set's parities: four bits for each of its shingles, rounded up to a power of two, so
+#: that few shingles share one. What they let through that whole sets don't is then little.
+_LEAST, _MOST = 16, 1 << 12
 #: Bits of the bitmaps that say which texts' whole sets, and which shingles, are looked at again.
 MARKS = 1 << 23
 
@@ -96,7 +97,7 @@ def fingerprint(x: np.ndarray) -> int:
 
 def parities(x: np.ndarray) -> np.ndarray:
     """64-bit words of parities: each shingle flips one bit, so that sets differ in at least as many shingles as bits."""
-    words = min(_MOST, max(_LEAST, 1 << max(0, (len(x) - 1) // 64).bit_length()))
+    words = min(_MOST, max(_LEAST, 1 << max(0, (len(x) - 1) // 16).bit_length()))
     odd = np.bincount((x & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
