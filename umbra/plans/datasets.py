@@ -235,7 +235,12 @@ def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.windows(spread(spark, sf_dir, "documents"), 512)
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT doc_id, doc_id // 1000 AS run, string_split_regex(text, '\s+') AS w FROM documents),
+    k AS (SELECT doc_id, run, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM t),
+    n AS (SELECT run, token, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) - 1 AS i FROM k)
+    SELECT run, i // 128 AS block, sha256(string_agg(token, ' ' ORDER BY i)) AS tokens_sha256 FROM n GROUP BY run, i // 128 HAVING count(*) = 128"""
+)
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("tokens"))
     return spans.packed_blocks(rows, 128).select("run", "block", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("tokens_sha256"))

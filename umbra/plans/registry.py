@@ -27,7 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of so many splits or more is spread enough for any number of cores: it isn't shuffled for the sake of a few.
+SPLITS = 64
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts in as many tasks as there are cores at least: a small file may be one row group, and so one task."""
+    """A small table of texts in as many tasks as there are cores: a small file may be one row group, and so one task."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= min(cores, SPLITS) else df.repartition(cores)
