@@ -124,6 +124,16 @@ def test_evaluation(spark):
     assert {r.id: len(r.blocks) for r in evaluation.with_blocks(rows, weak).collect()} == {"1": 2, "2": 1, "3": 0}
 
 
+def test_evaluation_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "Dear [NAME]Ann[/NAME]"), ("2", "no markup")], "id string, input string")
+    said = spark.createDataFrame([("1", "Dear Ann", 0), ("2", "no markup", 1)], "id string, prediction string, line int")
+    reports = evaluation.reports(evaluation.with_blocks(evaluation.with_predictions(rows, said)))
+    metrics = evaluation.write_evaluation(reports, f"file://{tmp_path}/out")
+    assert metrics["count"] == 2 and metrics["pii_leak_count"] == 1
+    assert spark.read.json(f"file://{tmp_path}/out/metrics").first().composite_score == metrics["composite_score"]
+    assert [spark.read.json(f"file://{tmp_path}/out/{k}").count() for k in ("detailed", "failures")] == [2, 1]
+
+
 def test_repetition_and_format(spark):
     def plain(t):
         grams = [t[i : i + 3] for i in range(len(t) - 2)]

@@ -103,6 +103,18 @@ def aggregated(rows: DataFrame) -> DataFrame:
     )
 
 
+def write_evaluation(rows: DataFrame, folder: str, n: int = 50) -> dict:
+    """Writes reports (detailed), the first n failures and the metrics, as JSON lines, in a folder of any file system.
+
+    Only the one row of metrics comes to the driver, which returns it.
+    """
+    rows.write.json(f"{folder}/detailed")
+    failures(rows, n).coalesce(1).write.json(f"{folder}/failures")
+    metrics = aggregated(rows).withColumn("composite_score", composite_score(rows))
+    metrics.coalesce(1).write.json(f"{folder}/metrics")
+    return metrics.first().asDict()
+
+
 def composite_score(m: DataFrame) -> Column:
     """The weighted score of aggregated measures, less up to 1 for leaks."""
     share = lambda c: 1 - F.least(F.lit(1.0), F.col(c))
