@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import settled, string_buffers
+from umbra.llm.common import drop_settled, settled, settled_so_far, string_buffers
 from umbra.llm.repeats import (
     SHIFT,
     SOURCE,
@@ -324,6 +324,7 @@ def remove_repeats(
     """
     spec = Spec(False, length, anchor)
     rows = keyed(docs).withColumn("lead", F.col("doc_id") if first_stays else F.lit(0).cast("long"))
+    before = settled_so_far(docs.sparkSession)
     known = recurring(rows, spec)
     found = occurrences(rows, spec, known, _path, "path long", "paths")
     first = F.min(F.struct(*SOURCE)).alias("first")
@@ -332,7 +333,9 @@ def remove_repeats(
     regions = settled(texts.mapInArrow(_contents(spec), _REGION), "regions")
     spans = _resolved(regions, spec, first_stays, ways, ((length + anchor + 1) // 2, length))
     spans = _of_all(classes, spans) if first_stays else spans.where(F.size("spans") > 0)
-    spans = settled(spans, "marks").withColumn("salt", F.explode(known.salts()))
+    spans = settled(spans, "marks")
+    drop_settled(docs.sparkSession, before | {found.settled_at, spans.settled_at})  # the result reads these two
+    spans = spans.withColumn("salt", F.explode(known.salts()))
     windows = F.col("place").bitwiseAND(F.lit(WINDOWS))
     marks = _marked(found, spans, ["anchor", "path", "salt"], windows, first_stays)
     marks = marks.select("k1", "k2", (F.shiftleft(F.shiftright("place", SHIFT), SHIFT) + F.col("span")).alias("place"))
