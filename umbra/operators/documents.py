@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of a text are joined within buckets of so many characters, so that a long document isn't one key.
+BUCKET = 4096
+
+
+def _bucket(at: Column) -> Column:
+    return F.floor(at / BUCKET)
+
+
+def _buckets(start: Column, end: Column) -> Column:
+    """All buckets that a stretch is in; an empty one is in that of its start."""
+    return F.explode(F.sequence(_bucket(start), _bucket(F.greatest(start, end - 1))))
+
 
 def segmented(segments: DataFrame, separator: str = "\n", order: str = "segment_id") -> DataFrame:
     """Segments (doc_id, segment_id, text, ...) with start and end in their document's text, the separator between them."""
@@ -23,11 +35,16 @@ def built(segments: DataFrame, separator: str = "\n", order: str = "segment_id")
 def anchored(spans: DataFrame, segments: DataFrame, *carry: str) -> DataFrame:
     """Spans with the segment that holds them whole, and its columns in carry; null where a span crosses segments.
 
-    Segments don't overlap, so that containment is an equi-join on doc_id with a residual: at most one segment fits.
+    Segments don't overlap, so that containment is an equi-join on doc_id and the bucket of the span's start, with a
+    residual: at most one segment fits.
     """
-    s = segments.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"), "segment_id", *carry)
-    on = (spans.doc_id == s["_doc"]) & (spans.start >= s["_start"]) & (spans.start < s["_end"]) & (spans.end <= s["_end"])
-    return spans.join(s, on, "left").drop("_doc", "_start", "_end")
+    start, end = F.col("start"), F.col("end")
+    s = segments.select(
+        F.col("doc_id").alias("_doc"), start.alias("_start"), end.alias("_end"), "segment_id", *carry, _buckets(start, end).alias("_at")
+    )
+    on = (spans.doc_id == s["_doc"]) & (_bucket(spans.start) == s["_at"])
+    on = on & (spans.start >= s["_start"]) & (spans.start < s["_end"]) & (spans.end <= s["_end"])
+    return spans.join(s, on, "left").drop("_doc", "_start", "_end", "_at")
 
 
 def overlapped(spans: DataFrame, segments: DataFrame, order: tuple[str, ...] = ("start", "end")) -> DataFrame:
@@ -35,12 +52,17 @@ def overlapped(spans: DataFrame, segments: DataFrame, order: tuple[str, ...] = (
 
     Pages must be equal where both are known.
     """
-    s = segments.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"), "segment_id", "bbox", F.col("page_index").alias("_page"))
-    on = (spans.doc_id == s["_doc"]) & (s["_end"] > spans.start) & (s["_start"] < spans.end)
+    start, end = F.col("start"), F.col("end")
+    own = (F.col("doc_id").alias("_doc"), start.alias("_start"), end.alias("_end"), "segment_id", "bbox")
+    s = segments.select(*own, F.col("page_index").alias("_page"), _buckets(start, end).alias("_at"))
+    spans = spans.withColumn("_bucket", _buckets(start, end))
+    # What two stretches share begins at the later start: of the buckets that both are in, they meet in that one alone.
+    on = (spans.doc_id == s["_doc"]) & (spans["_bucket"] == s["_at"])
+    on = on & (_bucket(F.greatest(spans.start, s["_start"])) == s["_at"]) & (s["_end"] > spans.start) & (s["_start"] < spans.end)
     if "page_index" in spans.columns:
         on = on & F.coalesce(spans.page_index == s["_page"], F.lit(True))
     hit = spans.join(s, on).where("bbox is not null").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "_page", "bbox").orderBy(*order, "segment_id")))
-    return hit.where("nth = 1").drop("nth", "_doc", "_start", "_end").withColumnRenamed("_page", "page")
+    return hit.where("nth = 1").drop("nth", "_doc", "_start", "_end", "_at", "_bucket").withColumnRenamed("_page", "page")
 
 
 def rects_in_blocks(spans: DataFrame, rects: DataFrame) -> DataFrame:
@@ -59,8 +81,11 @@ def united(boxes: DataFrame, *key: str) -> DataFrame:
 
 def boxes_of(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """The box around each span (doc_id, start, end), from blocks of characters (doc_id, start, end, bbox) that it meets."""
-    b = blocks.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"), "bbox")
-    met = spans.join(b, (spans.doc_id == b["_doc"]) & (b["_start"] < spans.end) & (b["_end"] > spans.start))
+    start, end = F.col("start"), F.col("end")
+    own = (F.col("doc_id").alias("_doc"), start.alias("_start"), end.alias("_end"), "bbox")
+    b, spans = blocks.select(*own, _buckets(start, end).alias("_at")), spans.withColumn("_bucket", _buckets(start, end))
+    on = (spans.doc_id == b["_doc"]) & (spans["_bucket"] == b["_at"]) & (b["_start"] < spans.end) & (b["_end"] > spans.start)
+    met = spans.join(b, on)
     return united(met, "doc_id", "start", "end")
 
 
