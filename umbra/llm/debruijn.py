@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import WORD_BASES, settled, stretch
+from umbra.llm.common import WORD_BASES, drop_settled, settled, settled_so_far, stretch
 from umbra.llm.repeats import (
     SHIFT,
     SOURCE,
@@ -64,7 +64,8 @@ def _edges(here, at, symbols: Symbols, start: np.ndarray, n: np.ndarray, path=No
     return [signed(source), signed(target), pa.array(np.frombuffer(words, np.int64))]
 
 
-_UNIT = f"anchor long, source0 long, target0 long, words0 long, at long, {_EDGE}, lead long, k1 long, k2 long, place long, copies long"
+#: A window of an edge: the edge by where it first stands (whole), the window's number in it, and its own edge.
+_UNIT = f"lead long, k1 long, k2 long, whole long, at long, copies long, {_EDGE}"
 
 
 def _single(spec: Spec):
@@ -75,19 +76,44 @@ def _single(spec: Spec):
             for lo, hi, here, at, symbols in runs(batch, spec):
                 text, some = listed_places(batch, lo, hi)
                 place = some.field("place").to_numpy()
-                start, n = place >> SHIFT, place & WINDOWS
-                edge, word = spread_out(symbols.first[text] + start, n)
+                edge, word = spread_out(symbols.first[text] + (place >> SHIFT), place & WINDOWS)
                 of, row = pa.array(edge), pa.array(text[edge] + lo)
-                place = word - symbols.first[text[edge]]
-                own = [some.field(k).take(of) for k in ("anchor", *EDGE)]
-                arrays = [*own, pa.array(place - start[edge]), *_edges(here, at, symbols, word, np.ones(len(word), np.int64))]
-                arrays += [some.field("lead").take(of), *(batch.column(k).take(row) for k in ("k1", "k2"))]
-                arrays += [pa.array(place << SHIFT | 1), some.field("copies").take(of)]
+                start = symbols.first[text[edge]] + (place[edge] >> SHIFT)
+                own = [some.field("lead").take(of), *(batch.column(k).take(row) for k in ("k1", "k2"))]
+                own += [pa.array(place[edge]), pa.array(word - start), some.field("copies").take(of)]
+                arrays = [*own, *_edges(here, at, symbols, word, np.ones(len(word), np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _UNIT.split(", ")])
 
     return each
 
 
+def _inner(edges: DataFrame) -> DataFrame:
+    """The nodes that one edge enters and one leaves."""
+    ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    ends = ends.unionByName(edges.select(F.col("target").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    return degrees.where("`out` = 1 and `in` = 1").select("node")
+
+
+def unitigs(edges: DataFrame) -> DataFrame:
+    """edges (source, target, words, n, and where each first stands: k1, k2, start) with unitig and offset.
+
+    Most edges that follow each other in the graph first stand one after the other in one text too. These are made runs
+    within their text first, so that the graph which is compacted in joins is far smaller.
+    """
+    inner = _inner(edges).select(F.col("node").alias("source"), F.lit(True).alias("passed"))
+    text = Window.partitionBy("k1", "k2").orderBy("start")
+    follows = (F.lag(F.col("start") + F.col("n")).over(text) == F.col("start")) & (F.lag("target").over(text) == F.col("source"))
+    here = edges.join(inner, "source", "left").withColumn("new", ~F.coalesce(F.col("passed") & follows, F.lit(False)))
+    here = here.withColumn("run", F.sum(F.col("new").cast("long")).over(text))
+    before = Window.partitionBy("k1", "k2", "run").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    here = settled(here.withColumn("on", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("passed", "new"), "runs")
+    ends = (F.min_by("source", "start").alias("source"), F.max_by("target", "start").alias("target"), F.sum("n").alias("n"))
+    paths = compacted(settled(here.groupBy("k1", "k2", "run").agg(*ends), "run-edges"))
+    paths = settled(paths.select("k1", "k2", "run", "unitig", F.col("offset").alias("from")), "compacted")
+    return here.join(paths, ["k1", "k2", "run"]).select(*EDGE, "unitig", (F.col("from") + F.col("on")).alias("offset"))
+
+
 def compacted(edges: DataFrame) -> DataFrame:
     """edges (source, target, n) with unitig and offset: the nonbranching path each is on, and where on it, in windows.
 
@@ -96,10 +122,7 @@ def compacted(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest path. What is left when a round finishes no node are cycles, which
     stay as single edges.
     """
-    ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
-    ends = ends.unionByName(edges.select(F.col("target").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
-    inner = settled(degrees.where("`out` = 1 and `in` = 1").select("node"), "inner")
+    inner = settled(_inner(edges), "inner")
     entered = edges.join(inner.withColumnRenamed("node", "target"), "target").select("source", "target", "n")
     before = entered.join(inner.select(F.col("node").alias("source"), F.lit(True).alias("passed")), "source", "left")
     # far: windows between the start of the path and the node, as far as it is known.
@@ -140,6 +163,7 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 def _graph(rows: DataFrame, spec: Spec, first_stays: bool) -> tuple[DataFrame, DataFrame]:
     """(found, kept): edges of the texts, and those repeated: unitig, offset, and where in the edges of a text they are."""
+    before = settled_so_far(rows.sparkSession)
     known = recurring(rows, spec)
     found = occurrences(rows, spec, known, _edges, _EDGE, "edges")
     first = F.min(F.struct(*SOURCE)).alias("first")
@@ -147,28 +171,29 @@ def _graph(rows: DataFrame, spec: Spec, first_stays: bool) -> tuple[DataFrame, D
     ways = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("copies").alias("least"))
     forks = settled(ways.where("ways > 1" + ("" if first_stays else " and least = 1")).select("anchor"), "forks")
     forked = classes.join(forks, "anchor", "left_semi").select("anchor", *EDGE, "copies", "first.*")
-    texts = with_text(rows, forked, ["place", "anchor", *EDGE, "lead", "copies"])
+    texts = with_text(rows, forked, ["place", "lead", "copies"])
     single = settled(texts.mapInArrow(_single(spec), _UNIT), "windows")
-    again = single.groupBy(*EDGE).agg(F.sum("copies").alias("copies"), first).where("copies > 1")
+    own = F.struct("lead", "k1", "k2", (F.shiftleft(F.shiftright("whole", SHIFT) + F.col("at"), SHIFT) + 1).alias("place"))
+    again = single.groupBy(*EDGE).agg(F.sum("copies").alias("copies"), F.min(own).alias("first")).where("copies > 1")
     again = settled(again, "again")
-    whole = classes.join(forks, "anchor", "left_anti").where("copies > 1")
-    windows = F.col("first.place").bitwiseAND(F.lit(WINDOWS)).alias("n")
-    edges = whole.select(*EDGE, windows).unionByName(again.select(*EDGE, F.lit(1).cast("long").alias("n")))
-    graph = compacted(settled(edges, "graph"))
-    graph = settled(graph, "compacted").select(*EDGE, "unitig", "offset")
+    repeated = classes.join(forks, "anchor", "left_anti").where("copies > 1")
+    windows = F.col("first.place").bitwiseAND(F.lit(WINDOWS))
+    first = ("first.k1", "first.k2", F.shiftright("first.place", SHIFT).alias("start"))
+    edges = repeated.select(*EDGE, windows.alias("n"), *first)
+    edges = edges.unionByName(again.select(*EDGE, F.lit(1).cast("long").alias("n"), *first))
+    graph = settled(unitigs(settled(edges, "graph")), "unitigs")
     piece = lambda at, n, low: F.struct(at.alias("at"), n.alias("n"), "unitig", "offset", low.alias("low"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    part = whole.join(graph, list(EDGE)).select("anchor", *EDGE, "first", piece(zero, windows, F.lit(None).cast("boolean")).alias("p"))
-    part = part.groupBy("anchor", *EDGE).agg(F.first("first").alias("first"), F.collect_list("p").alias("pieces"))
-    low = F.struct(*SOURCE) == F.col("least")
+    zero, one, null = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(None).cast("boolean")
+    whole = repeated.join(graph, list(EDGE)).select("anchor", *EDGE, "first", F.array(piece(zero, windows, null)).alias("pieces"))
     hits = single.join(again.select(*EDGE, F.col("first").alias("least")), list(EDGE)).join(graph, list(EDGE))
-    hits = hits.groupBy("anchor", *(F.col(f"{k}0").alias(k) for k in EDGE)).agg(F.collect_list(piece(F.col("at"), one, low)).alias("pieces"))
-    if first_stays:  # later copies of a forked edge are repeated as a whole, whichever of its windows are elsewhere too
-        hits = classes.join(forks, "anchor", "left_semi").join(hits, ["anchor", *EDGE], "left")
-    else:
-        hits = hits.withColumn("first", F.lit(None).cast(classes.schema["first"].dataType))
-    kept = part.unionByName(hits.select("anchor", *EDGE, "first", "pieces"))
-    return found, settled(kept, "kept").withColumn("salt", F.explode(known.salts()))
+    hits = hits.groupBy("k1", "k2", F.col("whole").alias("place")).agg(F.collect_list(piece(F.col("at"), one, own == F.col("least"))).alias("pieces"))
+    # first_stays: later copies of a forked edge are repeated as a whole, whichever of its windows are elsewhere too
+    forked = classes.join(forks, "anchor", "left_semi").select("anchor", *EDGE, "first", "first.k1", "first.k2", "first.place")
+    hits = forked.join(hits, ["k1", "k2", "place"], "left" if first_stays else "inner")
+    kept = whole.unionByName(hits.select("anchor", *EDGE, "first", "pieces"))
+    kept = settled(kept, "kept")
+    drop_settled(rows.sparkSession, before | {found.settled_at, kept.settled_at})  # the result reads these two
+    return found, kept.withColumn("salt", F.explode(known.salts()))
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, anchor: int = 12, first_stays: bool = False) -> DataFrame:
