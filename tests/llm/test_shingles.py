@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from umbra.llm import shingles
@@ -61,3 +63,45 @@ def test_near_copies_at_four_fifths_go(spark):
     assert min(similarities) >= 0.8
     kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(pairs, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_a_passage_that_long_texts_share_is_not_shipped_once_for_each_shingle(spark):
+    rng = random.Random(21)
+    passage = " ".join(words(rng, 1500, 8))
+    texts = [f"{passage} " + " ".join(words(rng, 1500, 8)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = shuffled()
+    assert len({r.label for r in shingles.labelled(df).collect()}) == len(texts)
+    assert shuffled() - before < 15 * sum(map(len, texts))
+
+
+def test_open_buckets_hold_every_pair_of_like_sizes_that_is_not_connected(spark):
+    rng = random.Random(22)
+    sets = {c: (rng.choice([1, 3, 4, 5, 16, 20, 25, 79, 80, 99, 100, 125, 1000, 1250, 1251]), rng.randrange(25)) for c in range(60)}
+    buckets = [rng.sample(sorted(sets), rng.randint(2, 7)) for _ in range(60)]
+    buckets += buckets[:30]
+    grouped = spark.createDataFrame([(t, c, *sets[c]) for t, b in enumerate(buckets) for c in b], "t long, c long, n long, g long")
+    rooms = shingles._open(grouped, (4, 5))
+    members = {}
+    for r in shingles._by_size(grouped, (4, 5)).join(rooms, ["t", "s"]).collect():
+        members.setdefault((r.t, r.s), []).append(r)
+    got = {(x.c, y.c) for b in members.values() for x in b for y in b if x.c < y.c and x.g != y.g and not (x.low and y.low)}
+    alike = lambda x, y: 5 * min(sets[x][0], sets[y][0]) >= 4 * max(sets[x][0], sets[y][0])
+    want = {(x, y) for b in buckets for x in b for y in b if x < y and sets[x][1] != sets[y][1] and alike(x, y)}
+    assert want and want <= got
+    same = [(k[1], tuple(sorted(r.c for r in b))) for k, b in members.items()]
+    assert len(same) == len(set(same)) and all(len(members[r.t, r.s]) == r.m for r in rooms.collect())
+
+
+def test_similar_sizes_are_of_classes_that_follow_each_other(spark):
+    n = spark.range(1, 20000).select(F.col("id").alias("n"), F.floor(F.col("id") * 5 / 4).alias("o"))
+    far = n.select((shingles._class("o", (4, 5)) - shingles._class("n", (4, 5))).alias("d")).agg(F.min("d"), F.max("d")).first()
+    assert tuple(far) == (0, 1)
+
+
+def test_fewer_words_in_sql_are_those_of_folded(spark):
+    rng = random.Random(23)
+    bits = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (16, 32, 32, 64, 256)]
+    got = [r.x for r in spark.createDataFrame([(b,) for b in bits], "bits array<long>").coalesce(1).select(shingles._fewer("bits").alias("x")).collect()]
+    assert got == [shingles.folded(np.array(b, np.int64)).tolist() if len(b) > 16 else b for b in bits]

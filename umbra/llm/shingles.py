@@ -7,6 +7,7 @@ verified on whole sets and kept, and pairs of texts that aren't connected over t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,10 +176,11 @@ def _close(similarity: tuple[int, int]):
 
 
 class _Side:
-    """One side of a comparison of blocks: names, sizes and groups of sets, and their parities by number of words."""
+    """One side of a comparison of blocks: names, sizes, groups and classes of sets, and their parities by number of words."""
 
     def __init__(self, rows: list[dict]):
         self.c, self.n, self.g = (np.array([r[k] for r in rows], np.int64) for k in "cng")
+        self.low = np.array([r["low"] for r in rows], bool)
         by: dict[int, list[int]] = {}
         for k, r in enumerate(rows):
             by.setdefault(len(r["bits"]), []).append(k)
@@ -207,7 +209,7 @@ def _across(similarity: tuple[int, int]):
                     continue
                 side, found = _Side(right), []
                 for r in left:
-                    fits = (side.g != r["g"]) & (q * np.minimum(side.n, r["n"]) >= p * np.maximum(side.n, r["n"]))
+                    fits = (side.g != r["g"]) & ~(side.low & r["low"]) & (q * np.minimum(side.n, r["n"]) >= p * np.maximum(side.n, r["n"]))
                     if i == j:
                         fits &= side.c > r["c"]
                     if not fits.any():
@@ -287,7 +289,9 @@ def links(
     First the pairs that fingerprints give are compared. Then, similar sets share a shingle of their heads, the first
     n - ceil(p n / q) + 1 in an order of all shingles; each such shingle makes a bucket. The least and the greatest of a
     bucket are compared, and the sets of a bucket of more than `bucket` with some leaders; then all pairs of a bucket
-    that still aren't connected are, in blocks. So a large group of near copies is mostly done by its leaders.
+    that still aren't connected are, in blocks. So a large group of near copies is mostly done by its leaders. Buckets of
+    the same sets are compared once, and in a bucket only sets of like sizes, by parities of a quarter of the words (but
+    _LEAST): what they let through meets the others as single pairs. So little is shipped to each bucket.
     """
     p, q = similarity
     spark = rows.sparkSession
@@ -318,21 +322,54 @@ def links(
     label = components(similar, "a", "b")
     grouped = once.join(label, once.c == label.node, "left").select("t", "c", "n", F.coalesce("label", "c").alias("g"))
     grouped = settled(grouped, "grouped")
-    still = grouped.groupBy("t").agg(F.count("*").alias("m"), F.min("g").alias("g1"), F.max("g").alias("g2"))
-    still = settled(still.where("g1 <> g2").select("t", "m"), "open")
+    still = settled(_open(grouped, similarity), "open")
     k = F.ceil(F.col("m") / block).cast("int")
-    rest = grouped.join(still, "t").join(sides.select("c", "bits"), "c")
+    rest = _by_size(grouped, similarity).join(still, ["t", "s"]).join(sides.select("c", _fewer(_fewer("bits")).alias("bits")), "c")
     rest = rest.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("c"), k).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rest = rest.select("t", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", F.struct("c", "n", "g", "bits").alias("s"))
-    sides_of = lambda k, name: F.collect_list(F.when(F.col("own") == F.col(k), F.col("s"))).alias(name)
-    rest = rest.groupBy("t", "i", "j").agg(sides_of("i", "left"), sides_of("j", "right"))
+    rest = rest.select("t", "s", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", F.struct("c", "n", "g", "low", "bits").alias("row"))
+    sides_of = lambda k, name: F.collect_list(F.when(F.col("own") == F.col(k), F.col("row"))).alias(name)
+    rest = rest.groupBy("t", "s", "i", "j").agg(sides_of("i", "left"), sides_of("j", "right"))
     last = settled(rest.select("i", "j", "left", "right").mapInArrow(_across(similarity), "a long, b long").distinct(), "last")
     last = _verified(last, sides, full, rows, width, similarity)
     drop(spark, buckets, once, sizes, grouped, still, sides)
     return similar.unionByName(last)
 
 
+def _fewer(bits: Column | str) -> Column:
+    """What folded() makes of parities, half as many words; those of the least number stay as they are."""
+    half = (F.size(bits) / 2).cast("int")
+    fold = F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > _LEAST, fold).otherwise(F.col(bits) if isinstance(bits, str) else bits)
+
+
+def _class(n: str, similarity: tuple[int, int]) -> Column:
+    """Classes of sizes: those of similar sets are the same or follow each other, as a class is a little wider than need be."""
+    p, q = similarity
+    return F.floor(F.log(n) / math.log(q / p * (1 + 1e-9)))
+
+
+def _by_size(grouped: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(t, s, c, n, g, low): each set of a bucket t with those of its own class s, and as a lower one with those of the next."""
+    s = _class("n", similarity)
+    both = F.array(F.struct(s.alias("s"), F.lit(False).alias("low")), F.struct((s + 1).alias("s"), F.lit(True).alias("low")))
+    return grouped.select("t", "c", "n", "g", F.explode(both).alias("x")).select("t", "x.s", "c", "n", "g", "x.low")
+
+
+def _open(grouped: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(t, s, m): buckets by class of size that hold pairs which aren't connected, one for all of the same m sets.
+
+    A passage that some texts share makes a bucket of the same sets for each of its shingles; one has all their pairs.
+    That sets are the same is told by their number and 128 bits of hashes.
+    """
+    sets = [F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second seed"), "c")).alias("x2")]
+    found = [F.count("*").alias("m"), *sets, F.min("g").alias("g1"), F.max("g").alias("g2")]
+    one = grouped.groupBy("t").agg(*found).where("g1 <> g2").groupBy("m", "x1", "x2").agg(F.min("t").alias("t"))
+    sized = _by_size(grouped.join(one.select("t"), "t"), similarity)
+    sized = sized.groupBy("t", "s").agg(*found, F.min("low").alias("low")).where("g1 <> g2 and not low")
+    return sized.groupBy("s", "m", "x1", "x2").agg(F.min("t").alias("t")).select("t", "s", "m")
+
+
 def _modulo(t: str) -> Column:
     """What _again takes of a shingle as an unsigned number: MARKS is a power of two."""
     return F.pmod(F.col(t), F.lit(MARKS)).cast("int")
