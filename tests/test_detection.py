@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,20 @@ def test_streams_run_the_same_plan(spark, tmp_path):
     deid.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.doc_id: r.output for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.doc_id: r.output for r in deid.deidentified(docs).collect()}
+
+
+def test_spans_of_few_texts_are_held_at_once(spark):
+    sizes = [0, 3, detection.PORTION_BYTES * 2, 5, *[1] * 1000, detection.PORTION_BYTES, 1]
+    runs = list(detection.portions(sizes))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes)))
+    assert all(b - a == 1 or (sum(sizes[a:b]) <= detection.PORTION_BYTES and b - a <= detection.PORTION_ROWS) for a, b in runs)
+    assert list(detection.portions([])) == []
+
+    texts = [None, "", "mail a.b@c.org é", "ab, " * 20_000] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(detection.portioned([batch.slice(3), batch.slice(0, 0)], "text"))
+    assert len(parts) > 40 and [t for p in parts for t in p.column("text").to_pylist()] == texts[3:]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = rewriting.deidentified(docs, detection.detectors("en"), "blackbox")
+    assert out.selectExpr("count(1) n", "count(distinct doc_id) d", "sum(size(events)) e").first()[:] == (800, 800, 200)
