@@ -7,8 +7,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from umbra.functions import text
+from umbra.operators import rewriting
 from umbra.plans import catalog
+from umbra.sources import synthetic
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +49,18 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     subprocess.run(["rm", "-rf", tmp_path / "umbra" / "llm"], check=True)
     code = "import importlib.util as u, sys; sys.path.insert(0, '.'); s = u.spec_from_file_location('e', '__spark_entry__.py'); e = u.module_from_spec(s); s.loader.exec_module(e); assert len(e.queries()) > 40 and not any(q.startswith('op') for q in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+@pytest.mark.parametrize("name", ["synthetic_documents", "filled_placeholders", "zh_rule_counts", "synthetic_values", "example_reports", "canonical_placeholders"])
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, name):
+    rows = catalog.QUERIES[name](spark, DATA)
+    cores = spark.sparkContext.defaultParallelism
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == cores
+
+
+def test_large_expressions_are_computed_once(spark):
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    key = F.col("id").cast("string")
+    assert plan(text.canonical_type(key)).count("upper(") < 4
+    assert plan(rewriting.filled_placeholders(key, F.lit("c"))).count("sha2(") == 1
+    assert plan(synthetic.birth_date(F.col("id"))).count("sha2(") == 4

@@ -21,6 +21,14 @@ def java(pattern: str, flags: str = "") -> str:
     return f"(?U{''.join(_FLAGS[f] for f in names)})" + pattern.replace(r"[<\[{]", r"[<\[\{]").replace(r"[>\]}]", r"[>\]\}]")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often it is used.
+
+    A lambda is interpreted, so a large expression in it can't make a generated method too large to be compiled.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """Array of (before, found): what the pattern finds, each with what stands before it; the last has no find."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
@@ -29,11 +37,13 @@ def pieces(text: Column, pattern: str) -> Column:
 
 def rewritten(text: Column, pattern: str, replacement: Callable[[Column, Column], Column]) -> Column:
     """text with each find replaced by replacement(find, its number from 0), which a plain regexp_replace can't compute."""
-    before = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tail = F.element_at(before, -1)
-    parts = F.zip_with(F.slice(before, 1, F.size(found)), F.transform(found, replacement), lambda a, b: F.concat(a, b))
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.concat_ws("", parts), tail))
+
+    def put(x: Column) -> Column:
+        parts = F.zip_with(F.slice(x["before"], 1, F.size(x["found"])), F.transform(x["found"], replacement), lambda a, b: F.concat(a, b))
+        return F.when(F.size(x["found"]) == 0, x["text"]).otherwise(F.concat(F.concat_ws("", parts), F.element_at(x["before"], -1)))
+
+    split = lambda t: F.struct(t.alias("text"), F.split(t, pattern, -1).alias("before"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"))
+    return once(text, lambda t: once(split(t), put))
 
 
 def finds(df: DataFrame, key: Sequence[str], text: str, pattern: str) -> DataFrame:
@@ -78,14 +88,18 @@ def type_name(raw: Column) -> Column:
 
 def canonical_type(raw: Column, unknown: str = "PII") -> Column:
     """The canonical type of a raw name: an exact name, else the first hint it matches, else `unknown`; none for none."""
-    key = type_name(raw)
-    names = F.create_map(*[F.lit(x) for pair in fixed.EXACT_TYPES.items() for x in pair])
-    out = F.when(key.isNull() | (key == ""), F.lit(None).cast("string")).when(F.element_at(names, key).isNotNull(), F.element_at(names, key))
-    for kind, hint in fixed.TYPE_HINTS:
-        found = key.rlike(hint)
-        out = out.when(found & ~F.contains(key, F.lit("USER")) if kind == "NAME" else found, F.lit(kind))
-    rest = type_name(F.lit(unknown))
-    return out.otherwise(F.when(rest == "", F.lit(None).cast("string")).otherwise(rest))
+
+    def of(key: Column) -> Column:
+        out = F.when(key.isNull() | (key == ""), F.lit(None).cast("string"))
+        for kind, names in fixed.TYPE_NAMES.items():
+            out = out.when(key.isin(*names.split()), F.lit(kind))
+        for kind, hint in fixed.TYPE_HINTS:
+            found = key.rlike(hint)
+            out = out.when(found & ~F.contains(key, F.lit("USER")) if kind == "NAME" else found, F.lit(kind))
+        rest = type_name(F.lit(unknown))
+        return out.otherwise(F.when(rest == "", F.lit(None).cast("string")).otherwise(rest))
+
+    return once(type_name(raw), of)
 
 
 def canonical_placeholders(text: Column, unknown: str = "PII") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import fixed, text
 from umbra.operators import corpus, rewriting, spans
-from umbra.plans.registry import query, spread, table
+from umbra.plans.registry import dealt, query, spread, table
 from umbra.sources import synthetic
 
 #: Raw type names that exercise exact names, hints, order and unknown ones.
@@ -51,12 +51,13 @@ def _letter(kinds: str) -> str:
 
 @query(f"SELECT c_custkey, {_letter(_MAPPED_SQL)} AS text FROM customer")
 def canonical_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", text.canonical_placeholders(_placeholder_text(F.col("c_custkey"))).alias("text"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey"))
+    return rows.select("c_custkey", text.canonical_placeholders(_placeholder_text(F.col("c_custkey"))).alias("text"))
 
 
 @query()
 def filled_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     return rows.select("c_custkey", rewriting.filled_placeholders(_placeholder_text(F.col("c_custkey")), F.sha2("c_name", 256)).alias("text"))
 
 
@@ -272,12 +273,12 @@ def synthetic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synthetic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.values(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return synthetic.values(dealt(table(spark, sf_dir, "customer").select("c_custkey")), "c_custkey")
 
 
 @query()
 def synthetic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.documents(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return synthetic.documents(dealt(table(spark, sf_dir, "customer").select("c_custkey")), "c_custkey")
 
 
 @query("SELECT c_custkey, 'Contact <NAME>, <EMAIL>.' AS text FROM customer")
