@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import fixed
+from umbra.functions.text import once
 
 
 def chance(row: Column, salt: str, n: int) -> Column:
@@ -19,6 +21,18 @@ def pick(row: Column, salt: str, values: Sequence[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (chance(row, salt, len(values)) + 1).cast("int"))
 
 
+def chosen(at: Column, forms: Sequence[Column]) -> Column:
+    """The form of this number, from 0; the others aren't computed."""
+
+    def of(i: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for n, form in enumerate(forms):
+            out = F.when(i == n, form).otherwise(out)
+        return out
+
+    return once(at, of)
+
+
 def digits(row: Column, salt: str, size: int) -> Column:
     return F.lpad(chance(row, salt, 10**size).cast("string"), size, "0")
 
@@ -29,12 +43,14 @@ def number(row: Column, salt: str, low: int, high: int) -> Column:
 
 def tw_id(row: Column) -> Column:
     """A letter, 1 or 2, seven digits and a check digit by the weights that generated ids have always had."""
-    letter, sex, body = pick(row, "letter", list(fixed.ID_LETTERS)), pick(row, "sex", ["1", "2"]), digits(row, "id", 7)
-    code = F.ascii(letter)
-    total = F.when(code > 74, code - 55).otherwise(code - 64) + sex.cast("int") * 9
-    for i in range(7):
-        total = total + F.substring(body, i + 1, 1).cast("int") * (8 - i)
-    return F.concat(letter, sex, body, ((10 - total % 10) % 10).cast("string"))
+    def of(x: Column) -> Column:
+        code = F.ascii(x["letter"])
+        total = F.when(code > 74, code - 55).otherwise(code - 64) + x["sex"].cast("int") * 9
+        for i in range(7):
+            total = total + F.substring(x["body"], i + 1, 1).cast("int") * (8 - i)
+        return F.concat(x["letter"], x["sex"], x["body"], ((10 - total % 10) % 10).cast("string"))
+
+    return once(F.struct(pick(row, "letter", list(fixed.ID_LETTERS)).alias("letter"), pick(row, "sex", ["1", "2"]).alias("sex"), digits(row, "id", 7).alias("body")), of)
 
 
 def phone(row: Column) -> Column:
@@ -50,8 +66,8 @@ def address(row: Column) -> Column:
 
 
 def name(row: Column) -> Column:
-    given, second = pick(row, "given", fixed.GIVEN_NAMES), pick(row, "second", fixed.GIVEN_NAMES)
-    return F.concat(pick(row, "surname", fixed.SURNAMES), given, F.when((chance(row, "two", 10) < 3) & (given != second), second).otherwise(""))
+    of = lambda x: F.concat(pick(row, "surname", fixed.SURNAMES), x["given"], F.when((chance(row, "two", 10) < 3) & (x["given"] != x["second"]), x["second"]).otherwise(""))
+    return once(F.struct(pick(row, "given", fixed.GIVEN_NAMES).alias("given"), pick(row, "second", fixed.GIVEN_NAMES).alias("second")), of)
 
 
 def medical_record(row: Column) -> Column:
@@ -59,25 +75,25 @@ def medical_record(row: Column) -> Column:
         F.concat(F.substring(pick(row, "hospital", fixed.HOSPITALS), 1, 3), F.lit("-"), number(row, "m1", 100000, 999999)), number(row, "m2", 10000000, 99999999),
         F.concat(F.lit("MR"), pick(row, "m3", ["A", "B", "C"]), number(row, "m4", 10000, 99999)), F.concat(F.lit("病歷號："), number(row, "m5", 1000000000, 9999999999)),
     ]
-    return F.element_at(F.array(*forms), (chance(row, "m6", 4) + 1).cast("int"))
+    return chosen(chance(row, "m6", 4), forms)
 
 
 def card(row: Column) -> Column:
-    prefix = pick(row, "issuer", fixed.CARD_PREFIXES)
-    size = F.when(F.length(prefix) == 1, 16).otherwise(15) - F.length(prefix)
-    return F.concat(prefix, F.substring(F.concat(digits(row, "c1", 10), digits(row, "c2", 10)), F.lit(1), size))
+    size = lambda prefix: F.when(F.length(prefix) == 1, 16).otherwise(15) - F.length(prefix)
+    of = lambda prefix: F.concat(prefix, F.substring(F.concat(digits(row, "c1", 10), digits(row, "c2", 10)), F.lit(1), size(prefix)))
+    return once(pick(row, "issuer", fixed.CARD_PREFIXES), of)
 
 
 def birth_date(row: Column, year: int = 2025) -> Column:
     """A date from 18 to 90 years before `year`, in one of three forms."""
     first = F.make_date(F.lit(year) - (chance(row, "age", 73) + 18).cast("int"), (chance(row, "month", 12) + 1).cast("int"), F.lit(1))
-    day = F.date_add(first, (chance(row, "day", 31) % F.dayofmonth(F.last_day(first))).cast("int"))
-    forms = [F.concat(F.year(day), F.lit("年"), F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日")), F.date_format(day, "yyyy-MM-dd"), F.concat(F.dayofmonth(day), F.lit("/"), F.month(day), F.lit("/"), F.date_format(day, "yy"))]
-    return F.element_at(F.array(*forms), (chance(row, "form", 3) + 1).cast("int"))
+    day = lambda first: F.date_add(first, (chance(row, "day", 31) % F.dayofmonth(F.last_day(first))).cast("int"))
+    forms = lambda day: [F.concat(F.year(day), F.lit("年"), F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日")), F.date_format(day, "yyyy-MM-dd"), F.concat(F.dayofmonth(day), F.lit("/"), F.month(day), F.lit("/"), F.date_format(day, "yy"))]
+    return once(once(first, day), lambda day: chosen(chance(row, "form", 3), forms(day)))
 
 
 def email(row: Column) -> Column:
-    tail = F.element_at(F.array(F.lit(""), number(row, "e1", 1, 99), number(row, "e2", 10, 99), F.concat(F.lit("."), number(row, "e3", 1970, 2023))), (chance(row, "e4", 4) + 1).cast("int"))
+    tail = chosen(chance(row, "e4", 4), [F.lit(""), number(row, "e1", 1, 99), number(row, "e2", 10, 99), F.concat(F.lit("."), number(row, "e3", 1970, 2023))])
     return F.lower(F.concat(name(row), tail, F.lit("@"), pick(row, "domain", fixed.DOMAINS)))
 
 
@@ -102,24 +118,33 @@ KINDS = {
 
 def values(rows: DataFrame, key: str = "id") -> DataFrame:
     """(key, type, value, context): a value of a random type for each row."""
-    row = F.col(key)
-    kind, value = pick(row, "type", list(KINDS)), F.lit(None).cast("string")
-    for k, f in KINDS.items():
-        value = F.when(F.col("type") == k, f(row)).otherwise(value)
-    return rows.select(key, kind.alias("type")).withColumn("value", value).withColumn("context", paragraph(row))
+    typed = rows.select(key, pick(F.col(key), "type", list(KINDS)).alias("type"))
+    of = lambda x: by_name(x["type"], {k: f(x["row"]) for k, f in KINDS.items()})
+    context = once(F.col(key), lambda row: paragraph(row))
+    return typed.withColumn("value", once(F.struct("type", F.col(key).alias("row")), of)).withColumn("context", context)
+
+
+def by_name(kind: Column, forms: dict[str, Column]) -> Column:
+    """The form of this name; the others aren't computed."""
+    out = F.lit(None).cast("string")
+    for k, form in forms.items():
+        out = F.when(kind == k, form).otherwise(out)
+    return out
 
 
 def paragraph(row: Column, sentences: int = 3) -> Column:
     """Sentences with their slots for personal data filled; slots of no type stay as they are."""
-    out = []
-    for i in range(sentences):
-        own = F.concat_ws(":", row.cast("string"), F.lit(str(i)))
-        text = pick(own, "template", fixed.PARAGRAPHS)
-        for k, f in {**KINDS, "DATE": birth_date}.items():
-            if any("{" + k + "}" in p for p in fixed.PARAGRAPHS):
-                text = F.replace(text, F.lit("{" + k + "}"), f(own))
-        out.append(text)
-    return F.concat(*out)
+    makers = {**KINDS, "DATE": birth_date}
+
+    def sentence(own: Column) -> Column:
+        return chosen(chance(own, "template", len(fixed.PARAGRAPHS)), [filled(p, own) for p in fixed.PARAGRAPHS])
+
+    def filled(template: str, own: Column) -> Column:
+        parts = re.split("|".join(rf"(?={{{k}}})|(?<={{{k}}})" for k in makers), template)
+        return F.concat(*[makers[p[1:-1]](own) if p[1:-1] in makers and p == f"{{{p[1:-1]}}}" else F.lit(p) for p in parts if p])
+
+    each = F.array(*[F.concat_ws(":", row.cast("string"), F.lit(str(i))) for i in range(sentences)])
+    return F.array_join(F.transform(each, sentence), "")
 
 
 def span_examples(rows: DataFrame, language: str = "zh", key: str = "doc_id") -> DataFrame:
@@ -147,7 +172,13 @@ def span_examples(rows: DataFrame, language: str = "zh", key: str = "doc_id") ->
 
 def documents(rows: DataFrame, key: str = "id", day: str = "2025-01-01") -> DataFrame:
     """(key, kind, text): a medical record, an account statement, a contract, a report or a paragraph for each row."""
-    row = F.col(key)
+    kinds = ["medical_record", "financial", "contract", "report", "paragraph"]
+    typed = rows.select(key, pick(F.col(key), "document", kinds).alias("kind"))
+    return typed.withColumn("text", once(F.struct("kind", F.col(key).alias("row")), lambda x: by_name(x["kind"], _texts(x["row"], day))))
+
+
+def _texts(row: Column, day: str) -> dict[str, Column]:
+    """The text of each kind of document."""
     when = lambda salt, days: F.date_format(F.date_sub(F.to_date(F.lit(day)), (chance(row, salt, days) + 1).cast("int")), "yyyy-MM-dd")
     line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
     who = [line("姓名", name(row)), line("身分證字號", tw_id(row)), line("電話", phone(row)), line("地址", address(row))]
@@ -157,10 +188,7 @@ def documents(rows: DataFrame, key: str = "id", day: str = "2025-01-01") -> Data
     contract = [F.lit("====== 合約書 ======"), line("合約編號", F.concat(F.lit("CN-"), digits(row, "contract", 6))), line("簽約日期", when("signed", 365)), *who, paragraph(row, 2)]
     report = [F.lit("====== 報告 ======"), line("日期", when("report", 90)), line("撰寫人", name(row)), paragraph(row, 4)]
     texts = {"medical_record": record, "financial": statement, "contract": contract, "report": report, "paragraph": [paragraph(row, 10)]}
-    kind, text = pick(row, "document", list(texts)), F.lit(None).cast("string")
-    for k, lines in texts.items():
-        text = F.when(F.col("kind") == k, F.concat_ws("\n", *lines)).otherwise(text)
-    return rows.select(key, kind.alias("kind")).withColumn("text", text)
+    return {kind: F.concat_ws("\n", *lines) for kind, lines in texts.items()}
 
 
 def rows(spark: SparkSession, n: int, key: str = "id") -> DataFrame:
