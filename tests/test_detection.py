@@ -199,3 +199,13 @@ def test_spans_of_few_texts_are_held_at_once(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     out = rewriting.deidentified(docs, detection.detectors("en"), "blackbox")
     assert out.selectExpr("count(1) n", "count(distinct doc_id) d", "sum(size(events)) e").first()[:] == (800, 800, 200)
+
+
+def test_expressions_are_left_out_where_a_word_they_need_is_missing(spark):
+    assert [text.needed(p) for k, p, _ in fixed.ZH_RULES if k == "ADDRESS"][2:6:3] == [[["村", "里"], ["鄰"]], []]
+    assert text.needed("(a|b)?c") == text.needed("(a)x|c") == text.needed(r"((a)|b)") == text.needed("(ab)*") == []
+    texts = ["台北市信義區松仁路3號", "幸福里 12鄰3號", "幸福里3號", "幸福大樓五樓", "", None, "臺中市大里區中山路5號，快樂社區"]
+    rows = docs_of(spark, *texts)
+    for _, p, f in fixed.ZH_RULES:
+        a, b = zip(*rows.select(text.counted(F.col("text"), p, f), F.regexp_count("text", F.lit(text.java(p, f))).cast("long")).collect(), strict=True)
+        assert a == b

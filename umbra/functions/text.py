@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,22 @@ def pieces(text: Column, pattern: str) -> Column:
     return zipped
 
 
+def needed(pattern: str) -> list[list[str]]:
+    """Of each group of plain words in a Python expression that a match must go through: its words, one of which a match has."""
+    plain = r"[^()\[\]\\?{}+*.|^$]+"
+    bare = re.sub(r"\((?:[^()\[\]\\]|\\.|\[[^\]]*\])*\)", "", re.sub(r"\[[^\]]*\]", "", pattern))
+    if "|" in bare or "(" in bare:
+        return []
+    return [g.split("|") for g in re.findall(rf"\(({plain}(?:\|{plain})*)\)(?![?*{{])", pattern)]
+
+
+def counted(text: Column, pattern: str, flags: str = "") -> Column:
+    """How often a Python expression finds something; texts without the words that it needs aren't searched by it."""
+    found = F.regexp_count(text, F.lit(java(pattern, flags))).cast("long")
+    lacks = [~reduce(or_, [F.contains(text, F.lit(w)) for w in words]) for words in needed(pattern)] if "IGNORECASE" not in flags else []
+    return F.when(reduce(or_, lacks), F.lit(0).cast("long")).otherwise(found) if lacks else found
+
+
 def rewritten(text: Column, pattern: str, replacement: Callable[[Column, Column], Column]) -> Column:
     """text with each find replaced by replacement(find, its number from 0), which a plain regexp_replace can't compute."""
 
