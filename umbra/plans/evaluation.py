@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import fixed, text
 from umbra.operators import evaluation
-from umbra.plans.registry import query, table
+from umbra.plans.registry import dealt, query, table
 
 
 def _quoted(s: str) -> str:
@@ -23,7 +23,7 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(k == 0, F.concat(F.lit("Dear Someone, your address is "), mail, F.lit(". Thanks"))).when(k == 1, "Dear Ann, your address is a@b.org. Thanks").when(k == 2, "Step 1: Dear [/NAME] Thanks").when(k == 3, F.concat(F.lit("Dear "), "c_name", F.lit(", your address is gone.")))
     examples = rows.select(F.col("c_custkey").cast("string").alias("id"), source.alias("input"))
     predictions = rows.select(F.col("c_custkey").cast("string").alias("id"), said.alias("prediction"), F.col("c_custkey").alias("line"))
-    return evaluation.with_blocks(evaluation.with_predictions(examples, predictions))
+    return evaluation.with_blocks(evaluation.with_predictions(dealt(examples, "id"), dealt(predictions, "id")))
 
 
 _EXAMPLES_SQL = """x AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 5 AS k, c_name AS v1, 'c' || c_custkey || '@x.org' AS v2 FROM customer),
